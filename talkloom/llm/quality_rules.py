@@ -214,3 +214,14 @@ def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     rows = features(base_counts(docs, id_col, text_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``apply`` keeps, with their own columns, in one pass.
+
+    The rows pass through a generator: a plain filter would be pushed below the projections that
+    make the features, with a copy of them for every use.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
+    judged = apply(whole, rules, "row", "body").select(F.explode_outer(F.when(F.col("kept"), F.array("id"))).alias("row"))
+    return judged.where("row is not null").select("row.*")
