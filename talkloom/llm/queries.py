@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, lm_score, packing, quality_rules, simhash, substring_dedup, toxicity
+from . import exact_dedup, html_extract, line_dedup, lm_score, packing, pieces, quality_rules, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.pseudo_likelihood(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words and pieces, and a digest of its ids by position."""
+    model = pieces.Pieces.load()
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count("word").alias("n_words"),
+        F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.size("ids"))), F.lit(0)).alias("n_pieces"),
+        F.bit_xor(F.when(F.col("word").isNotNull(), F.xxhash64("pos", "ids"))).alias("ids_digest"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_html_extract,
         op4_lm_score,
+        op5_pieces,
         op6_exact_dedup,
         op7_line_dedup,
         op8_quality_rules,
