@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import contains_any, n_words, similarity
@@ -141,3 +141,30 @@ def rule_check(response: Column, check: Column, ends_anywhere: bool = False) ->
         .when(check["type"] == "length", (n >= F.coalesce(check["min"], F.lit(0))) & (n <= F.coalesce(check["max"], F.lit(2**31 - 1))))
         .when(check["type"] == "ends_question", question)
     )
+
+
+def targeted_pair(chosen: Column, rejected: Column, needs: Column, most_similar: float = 0.70, least_words: int = 6, most_ratio: float = 3.0, banned: tuple[str, ...] = ()) -> Column:
+    """A pair whose chosen text meets ``needs``; texts unlike enough and of comparable length."""
+    a, b = n_words(chosen), n_words(rejected)
+    ratio = F.greatest(a, b) / F.greatest(F.least(a, b), F.lit(1))
+    filled = (F.coalesce(chosen, F.lit("")) != "") & (F.coalesce(rejected, F.lit("")) != "")
+    return filled & needs & ~contains_any(F.lower(chosen), banned) & (similarity(chosen, rejected) <= most_similar) & (a >= least_words) & (b >= least_words) & (ratio <= most_ratio)
+
+
+def opposed_pair(chosen: Column, rejected: Column, keywords: list[str], chosen_refers: bool, banned: tuple[str, ...] = (), most_similar: float = 0.70) -> Column:
+    """One text refers to the health data (a keyword), the other does not (one at most)."""
+    yes, no = (chosen, rejected) if chosen_refers else (rejected, chosen)
+    sides = (keyword_hits(yes, keywords) >= 1) & (keyword_hits(no, keywords) <= 1)
+    return sides & ~contains_any(F.lower(chosen), banned) & (similarity(chosen, rejected) <= most_similar) & (n_words(chosen) >= 8) & (n_words(rejected) >= 5)
+
+
+def filter_scenarios(df: DataFrame, category: str | None = None, kind: str | None = None, ids: DataFrame | None = None, tags: list[str] | None = None, mobile_safe: bool = False, id_col: str = "id") -> DataFrame:
+    """Scenarios that pass all filters given; without a type they are ``single``."""
+    if category is not None:
+        df = df.where(F.col("category") == category)
+    if kind is not None:
+        df = df.where(F.coalesce("type", F.lit("single")) == kind)
+    if ids is not None:
+        df = df.join(ids, id_col, "left_semi")
+    wanted = [*(tags or []), *["mobile_safe"] * mobile_safe]
+    return df.where(has_all(F.coalesce("tags", F.array().cast("array<string>")), wanted)) if wanted else df

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from talkloom.plans import conversation, curate, evaluate, session, surface, text  # noqa: F401
+    from talkloom.plans import conversation, curate, evaluate, generation, session, surface, text  # noqa: F401
