@@ -66,3 +66,35 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     leaves = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return leaves.unionByName(roots)
+
+
+_BITS = 1 << 15  # of one bitmap row
+
+
+def sieve(keys: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """A bitmap over hashes of ``key``: ``bucket, bits``, about eight bits a row of ``keys``.
+
+    It has ``most`` rows of 4 KB at most, 16 MB, whatever the keys, so it may be broadcast.  Beyond
+    some 16 million keys it lets more through; it never holds back what it should pass.
+    """
+    n = keys.count()
+    buckets = 1
+    while buckets < most and buckets * _BITS < 8 * n:
+        buckets *= 2
+    h = F.pmod(F.xxhash64(key), F.lit(buckets * _BITS))
+    rows = keys.select(F.floor(h / _BITS).alias("bucket"), (h % _BITS).alias("at"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).withColumn("buckets", F.lit(buckets))
+
+
+def sifted(df: DataFrame, key: str, bitmap: DataFrame, into: str = "__maybe") -> DataFrame:
+    """``df`` with a boolean: false only where ``key`` is surely none of the sieve's keys."""
+    buckets = bitmap.select("buckets").limit(1).collect()
+    if not buckets:
+        return df.withColumn(into, F.lit(False))
+    h = F.pmod(F.xxhash64(key), F.lit(buckets[0]["buckets"] * _BITS))
+    hashed = df.withColumn("__h", h).withColumn("bucket", F.floor(F.col("__h") / _BITS))
+    both = hashed.join(F.broadcast(bitmap.drop("buckets")), "bucket", "left")
+    place = (F.col("__h") % _BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2
+    return both.withColumn(into, F.coalesce(bit == 1, F.lit(False))).drop("__h", "bucket", "bits")
