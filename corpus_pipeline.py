@@ -28,7 +28,7 @@ def _changed(found: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the base rules and the learned decision list keep."""
-    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = quality_rules.learn(quality_rules.judged(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep(docs, rules)
 
 

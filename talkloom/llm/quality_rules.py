@@ -196,22 +196,24 @@ class Learner:
         return rules
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
-    """Rules from every row of ``docs`` with a label (``labels``: id, quality; 1 good, 0 bad)."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts and features of every row, computed once and kept in the shared folder without texts."""
+    return cut(features(base_counts(docs, id_col, text_col)))
+
+
+def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> list[Rule]:
+    """Rules from every one of ``rows`` (``judged``) with a label (``labels``: id, quality; 1 good, 0 bad)."""
     marks = labels.select(F.col(id_col).alias("id"), F.col("quality")).where("quality is not null").groupBy("id").agg(F.min("quality").alias("quality"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
-    rows = features(base_counts(own.select("id", "text"), "id", "text")).join(marks, "id")
-    return Learner(rows, **options).learn()
+    return Learner(rows.join(marks, "id"), **options).learn()
 
 
-def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, the counts, ``base_failed`` and ``kept`` for every row.
+def apply(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (``judged``, or features(base_counts(...))) with ``base_failed`` and ``kept`` added.
 
     A null text has no words and fails the base rules, as does an empty one.  Repeated rows and
-    ids stay; empty input gives no rows; other columns are ignored.  Without rules (no labels,
-    or none pure enough) only the base rules decide.
+    ids stay; empty input gives no rows; other columns of the documents are ignored.  Without
+    rules (no labels, or none pure enough) only the base rules decide.
     """
-    rows = features(base_counts(docs, id_col, text_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
@@ -223,5 +225,5 @@ def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFram
     make the features, with a copy of them for every use.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
-    judged = apply(whole, rules, "row", "body").select(F.explode_outer(F.when(F.col("kept"), F.array("id"))).alias("row"))
-    return judged.where("row is not null").select("row.*")
+    passed = apply(features(base_counts(whole, "row", "body")), rules).select(F.explode_outer(F.when(F.col("kept"), F.array("id"))).alias("row"))
+    return passed.where("row is not null").select("row.*")

@@ -55,9 +55,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
-    found = quality_rules.apply(docs, rules)
+    rows = quality_rules.judged(table(spark, sf_dir, "documents"))
+    found = quality_rules.apply(rows, quality_rules.learn(rows, table(spark, sf_dir, "labels")))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
