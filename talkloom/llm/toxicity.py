@@ -124,25 +124,33 @@ def train_one(pos: _Rows, unl: _Rows, size: int, prior: float, steps: int, l2: f
     return w, b
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic map with Platt's smoothed targets, by Newton steps."""
+def calibrate(margin: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of a logistic map with Platt's smoothed targets, by Newton steps.
+
+    ``weight`` tells how many rows each one stands for.
+    """
     good, bad = label.sum(), len(label) - label.sum()
     if not good or not bad:
         return 1.0, 0.0
     target = np.where(label > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    weight = np.ones(len(label)) if weight is None else weight * (len(label) / weight.sum())
     a, b = 1.0, 0.0
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        grad = x.T @ (p - target) + 1e-3 * np.array([a - 1, b])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (weight * (p - target)) + 1e-3 * np.array([a - 1, b])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         da, db = np.clip(np.linalg.solve(hess, grad), -2, 2)
         a, b = max(1e-3, a - da), b - db
     return float(a), float(b)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], clean: list[np.ndarray], prior: float, most: int = 3000, bags: int = 3, steps: int = 150, l2: float = 1e-4) -> Model:
-    """``clean`` (labelled not toxic) serves only to map margins to probabilities."""
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], clean: list[np.ndarray], prior: float, most: int = 3000, bags: int = 3, steps: int = 150, l2: float = 1e-4, stand: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """``clean`` (labelled not toxic) serves only to map margins to probabilities.
+
+    ``stand`` tells how many labelled rows each of ``pos`` and of ``clean`` stands for, so that the
+    map sees the classes in their share of all labels however many of either were sampled.
+    """
     if not pos or not (unl or clean):
         return NONE
     unl = unl or clean
@@ -156,7 +164,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], clean: list[np.ndarray], p
         w, b = train_one(rows, _Rows([unl[k] for k in some], place), len(ids), prior, steps, l2)
         total, bias = total + w / bags, bias + b / bags
     known = _Rows(pos + clean, place)
-    slope, shift = calibrate(known.margins(total, bias), np.array([1.0] * len(pos) + [0.0] * len(clean)))
+    label = np.array([1.0] * len(pos) + [0.0] * len(clean))
+    slope, shift = calibrate(known.margins(total, bias), label, np.where(label > 0, *stand))
     return Model(ids, total, bias, slope, shift)
 
 
@@ -168,11 +177,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of the rows whose fold is not 1.
 
     ``most_positive``, ``most_unlabelled`` and ``most_clean`` bound the sample: the rows of each
-    kind with the smallest hashes of their ids.  No other row is learnt from; the class prior
-    comes from all labelled rows of those folds.  Without positives every score is near 0.
+    kind with the smallest hashes of their ids.  No other row is learnt from; the class prior and
+    the weights of the classes in the calibration come from all labelled rows of those folds, so a
+    score means the same whether or not a bound holds.  Without positives every score is near 0.
     """
     mark = labels.select(F.col(id_col).alias("id"), "toxic").where("toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("id")) != 1)
-    counts = mark.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count("*").alias("n")).first()
+    counts = mark.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("c"), F.count("*").alias("n")).first()
     if not counts["p"]:
         return NONE
     order = F.xxhash64("id", F.lit(seed))
@@ -197,7 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for row in sorted(chosen.mapInArrow(run, f"id {kind}, kind string, f binary").collect(), key=lambda r: (r["kind"], r["id"], bytes(r["f"]))):
         by[row["kind"]].append(np.frombuffer(row["f"], dtype=np.int32))
     prior = min(0.5, max(0.001, counts["p"] / counts["n"]))
-    return fit(by["p"], by["u"], by["c"], prior)
+    stand = tuple(max(1.0, counts[k] / most) for k, most in (("p", most_positive), ("c", most_clean)))
+    return fit(by["p"], by["u"], by["c"], prior, stand=stand)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -58,6 +58,18 @@ def test_toxicity_held_out(spark, sf):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
+@pytest.mark.parametrize("bounds", [{"most_clean": 300}, {"most_positive": 60, "most_clean": 60}])
+def test_toxicity_scores_mean_the_same_when_the_bounds_hold(spark, sf, bounds):
+    big = sf.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    model = toxicity.learn(docs, labels, **bounds)
+    got = [(r["score"], known[r["id"]]) for r in toxicity.score(docs.join(labels.select("doc_id"), "doc_id"), model).where("held_out").collect() if r["id"] in known]
+    scores, toxic = (np.array(x) for x in zip(*got, strict=True))
+    assert abs(scores.mean() - toxic.mean()) < 0.02
+    assert (scores[toxic == 0] >= 0.7).mean() < 0.005
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (None, "x"), (1, "")], "doc_id long, text string")
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
