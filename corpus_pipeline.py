@@ -12,11 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import line_dedup, packing, quality_rules, simhash, substring_dedup
+from talkloom.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup
 from talkloom.llm.common import ensure_checkpoint_dir
 
 #: Words of a shingle in the near-duplicate stages.
 SHINGLE = 5
+#: Jaccard similarity of shingle sets from which documents are near-duplicates.
+SIMILARITY = 0.8
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -38,11 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints link, keep the one with the smallest id."""
-    found = simhash.near_duplicates(docs, size=SHINGLE)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Take out documents whose shingles reach a Jaccard similarity of 0.8 with an earlier one that stays."""
+    return near_dedup.keep(docs, size=SHINGLE, similarity=SIMILARITY)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

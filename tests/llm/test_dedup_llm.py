@@ -208,6 +208,43 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert got[2]["text"].split() == dict(rows)[2].split()[:10] + dict(rows)[2].split()[90:]
 
 
+def plain_near(rows, similarity=0.8):
+    def five(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    kept = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        s = five(t)
+        if not any(len(s & x) >= similarity * len(s | x) for _, _, x in kept):
+            kept.append((i, t, s))
+    return sorted(((i, t) for i, t, _ in kept), key=repr)
+
+
+def test_near_duplicates_of_the_pipeline_are_brute_force(spark, sf):
+    """Copies edited to either side of 0.8, chains of them, and rows that share an id or have none."""
+    import corpus_pipeline
+
+    draw = random.Random(12)
+    rows = []
+    for n in (100, 300, 1000):
+        for _ in range(6):
+            text = prose(draw, n).split()
+            rows.append((len(rows), " ".join(text)))
+            for edits in (1, 3, n // 100 * 2, n // 100 * 6):
+                other = list(text)
+                for k in draw.sample(range(n), edits):
+                    other[k] = f"edit{draw.randrange(10**9)}"
+                rows.append((len(rows), " ".join(other)))
+                text = draw.choice([text, other])
+    draw.shuffle(rows)
+    rows += [(500, prose(draw, 60)), (500, prose(draw, 60)), (None, prose(draw, 60)), (None, prose(draw, 60)), (501, "one two"), (502, "One  two"), (503, "one")]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), sf).collect()
+    want = plain_near(rows)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == want
+    assert 20 < len(want) < len(rows) - 20
+
+
 def test_queries_return_their_columns(spark, sf):
     from talkloom.llm import queries
 
