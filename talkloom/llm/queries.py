@@ -34,14 +34,8 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words and pieces, and a digest of its ids by position."""
-    model = pieces.Pieces.load()
-    rows = pieces.encode(table(spark, sf_dir, "documents"), model)
-    return rows.groupBy(F.col("id").alias("doc_id")).agg(
-        F.count("word").alias("n_words"),
-        F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.size("ids"))), F.lit(0)).alias("n_pieces"),
-        F.bit_xor(F.when(F.col("word").isNotNull(), F.xxhash64("pos", "ids"))).alias("ids_digest"),
-    )
+    """Per document: words and pieces, a digest of its ids by position, and whether they decode to it."""
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Pieces.load()).withColumnRenamed("id", "doc_id")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

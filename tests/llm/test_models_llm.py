@@ -160,22 +160,51 @@ def test_language_model_learns_and_tells_junk(spark, sf):
 
 
 def test_pieces_are_the_librarys(spark, sf):
+    """Encoding equals the library's ids, decoding gives the text back, and the query's digests are those of the ids."""
     import sentencepiece
 
     model = pieces.Pieces.load()
-    odd = [(-1, "  lead  x\n\n y\t"), (-2, "ﬁ ½ Ａ é 日本 " + "x" * 100 + " end"), (-3, ""), (-4, None), (-5, "a▁b   c"), (-6, "\n" * 3 + "z" * 60), (-3, "")]
+    odd = [(-1, "  lead  x\n\n y\t"), (-2, "ﬁ ½ Ａ é 日本 " + "x" * 100 + " end"), (-3, ""), (-4, None), (-5, "a▁b   c"), (-6, "\n" * 3 + "z" * 60), (-7, "ab" * 30_000), (-8, " " * 5000 + "=" * 777), (-9, "naïve e\u0301te 3.14,word;other\u200b"), (-3, "")]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    docs = docs.withColumn("word", F.lit("clash")).withColumn("ids", F.lit(1)).withColumn("id", F.lit("clash"))
     rows = pieces.encode(docs.dropDuplicates(["doc_id"]), model, head=300)
     m = sentencepiece.SentencePieceProcessor(model_file=model.path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    got = pieces.texts(rows).collect()
+    got = {r["id"]: r for r in pieces.decode(pieces.sequences(rows), model).withColumn("text", pieces.plain(F.col("text"))).collect()}
     assert len(got) == len(texts)
-    for r in got:
-        text = texts[r["id"]] or ""
-        assert r["ids"] == m.encode(text) and r["text"] == text.replace("▁", " ")
-    words = rows.where("word is not null").select("word", "ids").dropDuplicates(["word"])
-    assert pieces.decode_words(words, model).where("decoded <> word").count() == 0
-    assert pieces.encode(docs.where("false"), model).count() == 0
+    for k, text in texts.items():
+        assert got[k]["ids"] == m.encode(text or "") and got[k]["text"] == (text or "").replace("▁", " "), k
+    word_rows = {}
+    for r in rows.where("word is not null").select("id", "pos", "word", "ids", F.xxhash64(F.xxhash64("ids"), F.col("pos").cast("bigint")).alias("h")).collect():
+        n, size, digest = word_rows.get(r["id"], (0, 0, 0))
+        word_rows[r["id"]] = (n + 1, size + len(r["ids"]), digest ^ r["h"])
+    for head in (0, 300, 1 << 17):
+        for r in pieces.digests(docs.dropDuplicates(["doc_id"]), model, head=head).collect():
+            assert (r["n_words"], r["n_pieces"], r["ids_digest"]) == word_rows.get(r["id"], (0, 0, 0)) and r["round_trip"]
+    assert pieces.encode(docs.where("false"), model).count() == 0 and pieces.digests(docs.where("false"), model).count() == 0
+
+
+def test_repeated_rows_are_encoded_each(spark):
+    model = pieces.Pieces.load()
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one"), (2, None)], "doc_id long, text string")
+    rows = pieces.encode(docs, model).collect()
+    assert sorted((r["id"] or 0, r["word"] or "") for r in rows) == [(0, "▁one"), (1, "▁one"), (1, "▁one"), (1, "▁two"), (1, "▁two"), (2, "")]
+    assert {r["id"]: r["n_words"] for r in pieces.digests(docs, model).collect()} == {1: 4, None: 1, 2: 0}
+
+
+def test_python_fold_is_the_spark_fold_and_the_librarys(spark):
+    """Short pieces in long runs, where most merges compete over a border."""
+    import random
+
+    import sentencepiece
+
+    model, draw = pieces.Pieces.load(), random.Random(7)
+    made = {"".join(draw.choice("aeinrstho"[: draw.choice((2, 4, 9))]) for _ in range(draw.randrange(1, 40))) for _ in range(1500)} | {c * k for c in "a=.z" for k in range(1, 64)}
+    df = spark.createDataFrame([(w,) for w in made], "word string")
+    a = {r["word"]: r["ids"] for r in pieces.encode_words(df, model).collect()}
+    b = {r["word"]: r["ids"] for r in pieces.encode_words(df, model, longest_word=0).collect()}
+    m = sentencepiece.SentencePieceProcessor(model_file=model.path)
+    assert len(a) == len(made) and a == b == {w: m.encode("\n" + w)[2:] for w in made}
 
 
 def test_viterbi_is_brute_force(spark):
@@ -188,7 +217,9 @@ def test_viterbi_is_brute_force(spark):
         return max((best(w[:k])[0] + table[w[k:]], best(w[:k])[1] + [w[k:]]) for k in range(len(w)) if w[k:] in table)
 
     words = ["a", "ab", "abab", "babab", "aabba", "bbbb"]
-    got = {r["word"]: r["ids"] for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: r["ids"] for r in pieces.encode_words(df, model).collect()}
+    assert got == {r["word"]: r["ids"] for r in pieces.encode_words(df, model, longest_word=0).collect()}
     names = list(table)
     for w in words:
         assert sum(table[names[i]] for i in got[w]) == pytest.approx(best(w)[0]) and "".join(names[i] for i in got[w]) == w
