@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talkloom.llm import html_extract, lm_score, packing, pieces, quality_rules, queries, toxicity
@@ -170,7 +172,7 @@ def test_pieces_are_the_librarys(spark, sf):
     rows = pieces.encode(docs.dropDuplicates(["doc_id"]), model, head=300)
     m = sentencepiece.SentencePieceProcessor(model_file=model.path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    got = {r["id"]: r for r in pieces.decode(pieces.sequences(rows), model).withColumn("text", pieces.plain(F.col("text"))).collect()}
+    got = {r["id"]: r for r in pieces.spelling(pieces.sequences(rows), model).withColumn("text", pieces.plain(F.col("text"))).collect()}
     assert len(got) == len(texts)
     for k, text in texts.items():
         assert got[k]["ids"] == m.encode(text or "") and got[k]["text"] == (text or "").replace("▁", " "), k
@@ -184,6 +186,12 @@ def test_pieces_are_the_librarys(spark, sf):
     assert pieces.encode(docs.where("false"), model).count() == 0 and pieces.digests(docs.where("false"), model).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab .\n▁é0日", max_size=20))
+def test_tokens_are_made_of_words(text):
+    assert [w for t in pieces.tokens(text) for w in pieces.words_of(t)] == pieces.words(text)
+
+
 def test_repeated_rows_are_encoded_each(spark):
     model = pieces.Pieces.load()
     docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one"), (2, None)], "doc_id long, text string")
