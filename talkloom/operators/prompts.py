@@ -35,28 +35,39 @@ def seed_of(base: str, header: str, prompt: Column) -> Column:
     return F.struct(block(USER).alias("profile"), block(RECENT).alias("memory"), block(HEALTH).alias("health"))
 
 
+def _suffix(text: Column, mark: str, whole_line: bool) -> Column:
+    """``text`` from the first ``mark`` on, which must be a line of its own if ``whole_line``; empty without one."""
+    literal = mark.replace("[", r"\[").replace("]", r"\]")
+    shape = rf"(?s)\A(?:.*?\n)?({literal}(?:\n.*)?)\z" if whole_line else rf"(?s)\A.*?({literal}.*)\z"
+    return F.regexp_extract(text, shape, 1)
+
+
+def _parts(text: Column, whole_line: bool) -> tuple[Column, Column]:
+    """Profile and memory behind their markers, null without one.  Of two suffixes the shorter starts later, so a
+    profile ends where a shorter memory begins."""
+    user, recent = _suffix(text, USER, whole_line), _suffix(text, RECENT, whole_line)
+    inside = F.when(F.length(recent) < F.length(user), F.length(user) - F.length(recent)).otherwise(F.length(user))
+    behind = lambda x, mark, end: F.when(x != "", strip(F.substring(x, F.lit(len(mark) + 1), F.greatest(end - len(mark), F.lit(0)))))
+    return behind(user, USER, inside), behind(recent, RECENT, F.length(recent))
+
+
 def normalise(base: str, header: str, prompt: Column) -> Column:
     """Canonical form of a prompt whose markers are whole lines; null if it has neither.
 
     The first of each marker counts.  Applying it again changes nothing.
     """
-    lines = F.split(prompt, "\n")
-    u, r, n = F.array_position(lines, USER).cast("int"), F.array_position(lines, RECENT).cast("int"), F.size(lines)
-    cut = lambda a, b: strip(F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n"))
-    profile = F.when(u > 0, cut(u + 1, F.when(r > u, r - 1).otherwise(n)))
-    memory = F.when(r > 0, cut(r + 1, n))
-    return F.when((u > 0) | (r > 0), render(base, header, profile, memory))
+    profile, memory = _parts(prompt, True)
+    return F.when(F.coalesce(profile, memory).isNotNull(), render(base, header, profile, memory))
 
 
 def salvage(base: str, header: str, prompt: Column) -> Column:
-    """The same for prompts that lost base and header: markers anywhere, or bare dated lines."""
+    """The same for prompts that lost base and header: markers anywhere, what stands before a lone memory is the
+    profile, and text that opens with a date is memory."""
     s = strip(prompt)
-    u, r, n = F.locate(USER, s), F.locate(RECENT, s), F.length(s)
-    part = lambda a, b: strip(F.substring(s, a, F.greatest(b - a, F.lit(0))))
-    memory = F.when(r > 0, part(r + len(RECENT), n + 1))
-    profile = F.when(u > 0, part(u + len(USER), F.when(r > u, r).otherwise(n + 1))).when(r > 1, part(F.lit(1), r))
-    bare = F.when(s.rlike(DATED), render(base, header, F.lit(""), s))
-    return F.when((u > 0) | (r > 0), render(base, header, profile, memory)).otherwise(bare)
+    profile, memory = _parts(s, False)
+    lead = strip(F.substring(s, F.lit(1), F.length(s) - F.length(_suffix(s, RECENT, False))))
+    marked = F.when(F.coalesce(profile, memory).isNotNull(), render(base, header, F.coalesce(profile, lead), memory))
+    return F.coalesce(marked, F.when(s.rlike(DATED), render(base, header, F.lit(""), s)))
 
 
 def route(base: str, header: str, prompt: Column, fix_stripped: bool = True) -> Column:
@@ -72,15 +83,20 @@ def variant(base: str, prompt: Column, mode: str) -> Column:
     return {"full": prompt, "none": F.lit("")}.get(mode, F.lit(base))
 
 
-#: Phrases that make a criterion one of absence (fixed values).
-NEGATIVE = tuple(f"{who} {what}" for who in ("ai", "model", "anchor") for what in ("avoid", "does not", "doesn't", "never", "refrain")) + ("ai not", "model not say", "anchor not")
+#: Phrases that make a criterion one of absence; {name} is the assistant's own name (fixed values).
+NEGATIVE = (
+    "ai avoid", "model avoid", "{name} avoid",
+    "ai does not", "model does not", "{name} does not",
+    "ai doesn't", "model doesn't", "{name} doesn't",
+    "ai never", "model never", "{name} never",
+    "ai refrain", "model refrain", "{name} refrain",
+    "ai not", "model not say", "{name} not",
+)
 
 
-def is_negative(question: Column) -> Column:
-    low, out = F.lower(question), F.lit(False)
-    for p in NEGATIVE:
-        out = out | low.contains(p)
-    return out
+def is_negative(question: Column, name: str = "assistant") -> Column:
+    """Whether a criterion asks for the absence of something the model, called ``name``, might do."""
+    return F.exists(F.array(*[F.lit(p.format(name=name.lower())) for p in NEGATIVE]), lambda p: F.contains(F.lower(question), p))
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:

@@ -151,11 +151,25 @@ def targeted_pair(chosen: Column, rejected: Column, needs: Column, most_similar:
     return filled & needs & ~contains_any(F.lower(chosen), banned) & (similarity(chosen, rejected) <= most_similar) & (a >= least_words) & (b >= least_words) & (ratio <= most_ratio)
 
 
-def opposed_pair(chosen: Column, rejected: Column, keywords: list[str], chosen_refers: bool, banned: tuple[str, ...] = (), most_similar: float = 0.70) -> Column:
-    """One text refers to the health data (a keyword), the other does not (one at most)."""
-    yes, no = (chosen, rejected) if chosen_refers else (rejected, chosen)
-    sides = (keyword_hits(yes, keywords) >= 1) & (keyword_hits(no, keywords) <= 1)
-    return sides & ~contains_any(F.lower(chosen), banned) & (similarity(chosen, rejected) <= most_similar) & (n_words(chosen) >= 8) & (n_words(rejected) >= 5)
+def biometric_pair(chosen: Column, rejected: Column, kind: str, keywords: list[str], phrases: tuple[str, ...], general: tuple[str, ...] = (), banned: tuple[str, ...] = (), most_similar: float = 0.70) -> Column:
+    """Opposed use of health data.  A text refers to it by a keyword or a specific phrase.
+
+    ``recall``: the chosen text refers, the rejected one does not.  ``restraint``: the other way round.  ``intrusion``:
+    the rejected text has a specific phrase or two keywords.  ``presumption``: only the rejected text overgeneralises.
+    One keyword is no reference where there must be none.  The side that refers has eight words or more, the other five.
+    """
+    a, b = F.lower(chosen), F.lower(rejected)
+    hits = lambda x: keyword_hits(x, keywords)
+    refers = lambda x, least=1: (hits(x) >= least) | contains_any(x, phrases)
+    sides = {
+        "recall": refers(a) & ~refers(b, 2),
+        "restraint": refers(b) & ~refers(a, 2),
+        "intrusion": refers(b, 2) & ~refers(a, 2),
+        "presumption": contains_any(b, general) & ~contains_any(a, general) & ~contains_any(a, phrases),
+    }
+    least = (8, 5) if kind == "recall" else (5, 8)
+    filled = (F.coalesce(chosen, F.lit("")) != "") & (F.coalesce(rejected, F.lit("")) != "")
+    return filled & sides[kind] & ~contains_any(a, banned) & (similarity(chosen, rejected) <= most_similar) & (n_words(chosen) >= least[0]) & (n_words(rejected) >= least[1])
 
 
 def filter_scenarios(df: DataFrame, category: str | None = None, kind: str | None = None, ids: DataFrame | None = None, tags: list[str] | None = None, mobile_safe: bool = False, id_col: str = "id") -> DataFrame:

@@ -74,8 +74,13 @@ def assistant_share(c: Column) -> Column:
     return F.when(total(c) > 0, total(of_role(c, "assistant")) / total(c))
 
 
+def same(c: Column) -> Column:
+    """A key that two conversations share only if they are equal: a digest of their JSON."""
+    return F.sha2(F.to_json(c), 256)
+
+
 def flat(c: Column, gap: str = "\n--\n") -> Column:
-    """A conversation as one string."""
+    """A conversation as one string to read; different ones may look alike."""
     return F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit("|"), m["content"])), gap)
 
 
@@ -156,8 +161,12 @@ def truncate_pairs(c: Column, most: int) -> Column:
 
 def chunk(tokens: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` from 0 in steps of ``size - overlap`` while a start is inside."""
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(size)))
+
+    def windows(t: Column) -> Column:
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(t, s + 1, F.lit(size)))
+
+    return F.transform(F.array(tokens), windows)[0]  # bound, or the tokens would be made anew for every window
 
 
 def dump(c: Column) -> Column:

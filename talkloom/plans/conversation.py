@@ -31,9 +31,9 @@ _MERGED = f"""
 @query(
     sql=f"""WITH {_MERGED},
       fin AS (SELECT conv_id, {_last_sql('c')} AS c FROM merged),
-      k AS (SELECT conv_id, c, {flat_sql('c')} AS body FROM fin
+      k AS (SELECT conv_id, c FROM fin
             WHERE len(list_filter(c, lambda m: m.role IN ('user', 'assistant'))) >= 2),
-      d AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY conv_id) AS n FROM k)
+      d AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY conv_id) AS n FROM k)
     SELECT conv_id, len(c) AS n_turns, len(list_filter(c, lambda m: m.role = 'user')) AS n_user,
       len(list_filter(c, lambda m: m.role = 'assistant')) AS n_assistant,
       array_to_string(list_transform(list_filter(c, lambda m: m.role = 'assistant'), lambda m: m.content), ' ') AS assistant_text
@@ -42,7 +42,7 @@ _MERGED = f"""
 def training_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: user runs merged, cut after the last assistant turn, short ones out, exact duplicates out."""
     c = conversations(spark, sf_dir).withColumn("c", turns.assistant_last(turns.merge_users(F.col("c"))))
-    c = c.where(~turns.too_short(F.col("c"), 2)).withColumn("body", F.sha2(turns.flat(F.col("c")), 256))
+    c = c.where(~turns.too_short(F.col("c"), 2)).withColumn("body", turns.same(F.col("c")))
     first = c.groupBy("body").agg(F.min("conv_id").alias("conv_id"))
     kept = c.join(first, ["body", "conv_id"], "left_semi")
     count = lambda role: F.size(turns.of_role(F.col("c"), role)).cast("bigint")

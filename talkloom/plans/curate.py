@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from talkloom.functions import text
 from talkloom.operators import dedup, sampling, turns
 from talkloom.plans.registry import query
-from talkloom.plans.tables import CONV, conversations, flat_sql, table, words_sql
+from talkloom.plans.tables import CONV, conversations, table, words_sql
 
 
-@query(sql=f"WITH {CONV}, b AS (SELECT conv_id, conv_id % 4 AS file, {flat_sql('c')} AS body FROM conv) SELECT file, min(conv_id) AS conv_id, count(*) AS n FROM b GROUP BY file, body")
+@query(sql=f"WITH {CONV} SELECT conv_id % 4 AS file, min(conv_id) AS conv_id, count(*) AS n FROM conv GROUP BY conv_id % 4, c")
 def u2_exact_per_file(spark, sf_dir):
     """Exact duplicates inside a file: the first stays."""
-    c = conversations(spark, sf_dir).select("conv_id", (F.col("conv_id") % 4).alias("file"), F.sha2(turns.flat(F.col("c")), 256).alias("body"))
+    c = conversations(spark, sf_dir).select("conv_id", (F.col("conv_id") % 4).alias("file"), turns.same(F.col("c")).alias("body"))
     kept = dedup.first_by(c, ["file", "body"], "conv_id")
     return kept.join(c.groupBy("file", "body").agg(F.count("*").alias("n")), ["file", "body"]).select("file", "conv_id", "n")
 

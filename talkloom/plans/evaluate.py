@@ -189,7 +189,9 @@ def j10_semi(spark, sf_dir):
 @query(sql="SELECT item_id, lang, length(text) + length(lang) AS n FROM benchmark CROSS JOIN (SELECT DISTINCT lang FROM documents)")
 def j8_prompt_matrix(spark, sf_dir):
     """Prompts by models: a bounded list of models is exploded onto each prompt."""
-    langs = [r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    langs = [r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").limit(1001).collect()]
+    if len(langs) > 1000:
+        raise ValueError("a matrix of over 1,000 models is not exploded onto each prompt")
     b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, langs)).cast("array<string>")).alias("lang"))
     return b.select("item_id", "lang", (F.length("text") + F.length("lang")).cast("bigint").alias("n"))
 

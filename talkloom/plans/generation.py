@@ -49,17 +49,23 @@ def f17_f18_targeted_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("conv_id", rules.targeted_pair(F.col("chosen"), F.col("rejected"), needs, banned=("zzz",)).alias("ok"))
 
 
-def _hits_sql(x: str) -> str:
-    return "(" + " + ".join(f"contains(lower({x}), '{k}')::INT" for k in _KEYS) + ")"
+def _hits_sql(x: str, words: tuple[str, ...] | list[str]) -> str:
+    return "(" + " + ".join(f"contains(lower({x}), '{k}')::INT" for k in words) + ")"
 
 
-_OPPOSED = "{a} >= 1 AND {b} <= 1 AND " + _jaccard_sql("s", "t") + " <= 0.7 AND x >= 8 AND y >= 5"
+_PHRASES, _GENERAL, _BANNED = ("was the", "und die", "de la"), ("for", "mit", "con"), ("hation",)
+_COUNTS = ", ".join(f"{_hits_sql(t, w)} AS {n}_{t}" for t in ("chosen", "rejected") for n, w in (("k", _KEYS), ("s", _PHRASES), ("g", _GENERAL), ("b", _BANNED)))
 
 
-@query(sql=f"WITH {_PAIRS}, {_W} SELECT conv_id, {_OPPOSED.format(a=_hits_sql('chosen'), b=_hits_sql('rejected'))} AS chosen_refers, {_OPPOSED.format(a=_hits_sql('rejected'), b=_hits_sql('chosen'))} AS rejected_refers FROM w")
+@query(sql=f"""WITH {_PAIRS}, {_W}, n AS (SELECT conv_id, x, y, {_jaccard_sql('s', 't')} <= 0.7 AS unlike, {_COUNTS} FROM w)
+    SELECT conv_id,
+      unlike AND b_chosen = 0 AND x >= 8 AND y >= 5 AND (k_chosen > 0 OR s_chosen > 0) AND k_rejected < 2 AND s_rejected = 0 AS recall,
+      unlike AND b_chosen = 0 AND x >= 5 AND y >= 8 AND (k_rejected > 0 OR s_rejected > 0) AND k_chosen < 2 AND s_chosen = 0 AS restraint,
+      unlike AND b_chosen = 0 AND x >= 5 AND y >= 8 AND (k_rejected > 1 OR s_rejected > 0) AND k_chosen < 2 AND s_chosen = 0 AS intrusion,
+      unlike AND b_chosen = 0 AND x >= 5 AND y >= 8 AND g_rejected > 0 AND g_chosen = 0 AND s_chosen = 0 AS presumption FROM n""")
 def f19_f22_opposed_pairs(spark, sf_dir):
-    ok = [rules.opposed_pair(F.col("chosen"), F.col("rejected"), _KEYS, side).alias(name) for side, name in ((True, "chosen_refers"), (False, "rejected_refers"))]
-    return _pairs(spark, sf_dir).select("conv_id", *ok)
+    kinds = ("recall", "restraint", "intrusion", "presumption")
+    return _pairs(spark, sf_dir).select("conv_id", *[rules.biometric_pair(F.col("chosen"), F.col("rejected"), k, _KEYS, _PHRASES, _GENERAL, _BANNED).alias(k) for k in kinds])
 
 
 @query(sql="SELECT doc_id AS id FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1') AND doc_id IN (SELECT doc_id FROM labels)")

@@ -42,9 +42,9 @@ def k2_sessions_by_time(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"), "user_id")
 
 
-@query(sql="SELECT user_id, arg_max(event_type, ts) AS current_mood, count(*) AS n FROM events GROUP BY user_id")
+@query(sql="SELECT user_id, arg_max(event_type, (ts, event_id)) AS current_mood, count(*) AS n FROM events GROUP BY user_id")
 def k4_current_mood(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("current_mood"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("current_mood"), F.count("*").alias("n"))
 
 
 @query(sql="SELECT event_type, count(*) FILTER (value > 50) AS warnings, count(*) FILTER (value > 90) AS errors, count(*) AS n FROM events GROUP BY event_type")
@@ -114,10 +114,16 @@ def p23_p25_normalise(spark, sf_dir):
     return s.select("doc_id", prompts.route(_BASE, _HEADER, prompt).alias("r")).select("doc_id", "r.kind", "r.prompt")
 
 
-@query(sql="SELECT doc_id, CASE WHEN lang = 'en' THEN true ELSE false END AS negative FROM documents")
+_WHO, _DOES = ("The AI", "the MODEL", "Nova", "The user"), ("avoids", "does not give", "gives", "never gives", "refrains from", "not saying")
+
+
+@query(sql=f"""WITH q AS (SELECT doc_id, {list(_WHO)}[doc_id % 4 + 1] AS who, {list(_DOES)}[doc_id // 4 % 6 + 1] AS does FROM documents)
+    SELECT doc_id, lower(who) <> 'the user' AND does <> 'gives' AND NOT (lower(who) = 'the model' AND does = 'not saying') OR lower(who) = 'the model' AND does = 'not saying' AS negative FROM q""")
 def p28_negative_flag(spark, sf_dir):
-    q = F.when(F.col("lang") == "en", F.lit("Does it hold that the AI avoids advice?")).otherwise(F.lit("Does the user avoid sleep?"))
-    return table(spark, sf_dir, "documents").select("doc_id", prompts.is_negative(q).alias("negative"))
+    """Criteria of every subject with every verb, some of them about the user or without a negation."""
+    who, does = (F.get(F.array(*map(F.lit, x)), k.cast("int")) for x, k in ((_WHO, F.col("doc_id") % 4), (_DOES, F.floor(F.col("doc_id") / 4) % 6)))
+    q = F.concat(F.lit("Does it hold that "), who, F.lit(" "), does, F.lit(" advice?"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.is_negative(q, "Nova").alias("negative"))
 
 
 @query(sql=f"WITH {CONV}, t AS (SELECT conv_id, array_to_string(list_transform(list_filter(c, lambda m: m.role <> 'system'), lambda m: CASE m.role WHEN 'user' THEN 'User' ELSE 'AI' END || ': ' || m.content), chr(10)) AS t FROM conv) SELECT conv_id, 'Conversation:' || chr(10) || t || chr(10) || chr(10) || 'Question: Is it kind?' || chr(10) || 'Answer YES or NO only.' AS prompt FROM t")
@@ -206,4 +212,4 @@ def f28_parity(spark, sf_dir):
 
 @query(sql="SELECT event_id FROM events WHERE strftime(ts, '%Y%m%d') >= '20240115'")
 def f24_since(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.date_format("ts", "yyyyMMdd") >= "20240115").select("event_id")
+    return table(spark, sf_dir, "events").where(F.col("ts") >= F.to_timestamp(F.lit("20240115"), "yyyyMMdd")).select("event_id")

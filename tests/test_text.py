@@ -53,3 +53,8 @@ def test_session_update(spark):
 
 def test_mood_precedence(spark):
     assert one(spark, "I am sad and in PANIC", parse.mood) == "Panic" and one(spark, "", parse.mood) == "Neutral"
+
+
+@pytest.mark.parametrize(("raw", "want"), [('x {"a": {"b": "}"}} y {', {"a": {"b": "}"}}), ('{"a": ["x", "y', {"a": ["x", "y"]}), ('{"a": "q\\"}", "b": [1, 2', {"a": 'q"}', "b": [1, 2]}), ("[1, 2]", None), ('```json\n{"a": 1}', {"a": 1})])
+def test_cut_and_nested_objects(raw, want):
+    assert parse.first_object(raw) == want

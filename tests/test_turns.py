@@ -72,3 +72,11 @@ def test_chunk_may_end_inside_the_previous_window(spark):
 def test_supervised_spans_cut_out_the_replies(convs):
     r = convs.where("id = 'normal'").select(turns.render(F.col("c")).alias("t"), turns.supervised_spans(F.col("c")).alias("s")).first()
     assert [r["t"][s["start"] : s["stop"]] for s in r["s"]] == ["a2<|eot_id|>", "a4<|eot_id|>"]
+
+
+def test_conversations_that_read_alike_are_not_the_same(spark):
+    kind = "id int, c array<struct<role:string,content:string>>"
+    rows = [(1, [("user", "a\n--\nassistant|b")]), (2, [("user", "a"), ("assistant", "b")]), (3, [("user", "a"), ("assistant", "b")]), (4, [("user", None)]), (5, [("user", "")])]
+    got = spark.createDataFrame(rows, kind).select("id", turns.same(F.col("c")).alias("k")).collect()
+    keys = {r["id"]: r["k"] for r in got}
+    assert keys[2] == keys[3] and len({keys[k] for k in (1, 2, 4, 5)}) == 4
