@@ -10,6 +10,7 @@ documents lie; no row is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 WINDOW = 1024
 END = 0
 SPECIAL = "<|endoftext|>"
+#: White space in a row from which the matcher behind the ranks may run out of stack.
+_RUN = re.compile(r"\s{10000}")
 
 
 class ByteBpe:
@@ -28,7 +31,7 @@ class ByteBpe:
 
     The same vocabulary as ranks (``name``.tiktoken) gives the same ids at about five times the
     speed; a text with the special token's string goes to ``tokenizers`` itself, which reads it
-    as one id.
+    as one id, and so does one with a very long run of white space.
     """
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
@@ -45,7 +48,7 @@ class ByteBpe:
         self.slow = None
 
     def ids(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
+        if SPECIAL in text or len(text) >= 10_000 and _RUN.search(text):
             if self.slow is None:
                 from tokenizers import Tokenizer
 

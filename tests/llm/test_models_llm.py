@@ -101,6 +101,47 @@ def test_unmarked_pages_use_density_and_neighbours():
     assert html_extract.main_text(page) == f"Heading\n{text}\nYes.\n{text}"
 
 
+LINE = "The house of the man that was on the hill is in the book, and it is as old as the town."
+HARD = {
+    "form around the page": (f'<form id="aspnetForm"><p>{LINE}</p><p>{LINE}</p></form>', f"{LINE}\n{LINE}"),
+    "menu never closed": (f"<nav><a href=1>Home</a><div><p>{LINE}</p><p>{LINE}</p></div></body></html>", f"{LINE}\n{LINE}"),
+    "word in a title": (f'<article><p title="the hidden cost">{LINE}</p></article>', LINE),
+    "hidden": (f"<article><p hidden>{LINE}</p><p>{LINE} x</p></article>", f"{LINE} x"),
+    "names that hold a mark": (f'<article><h2 id="social-impact">Impact</h2><p>{LINE}</p><section id="related-work"><p>{LINE}</p></section></article>', f"Impact\n{LINE}\n{LINE}"),
+    "names that are one": (f'<article><p>{LINE}</p><div class="comment-list"><p>{LINE}</p></div><div class="shareButtons">{LINE}</div></article>', LINE),
+    "no blanks": ("<div><p>" + "这是一个没有空格的中文段落" * 6 + "</p></div>", "这是一个没有空格的中文段落" * 6),
+    "no stop words": ("<p>Press button, turn valve, open cover, remove screws, lift panel, clean filter, close cover.</p>", "Press button, turn valve, open cover, remove screws, lift panel, clean filter, close cover."),
+    "block in a link": (f"<a href=1><div>{LINE}</div></a><p>{LINE} x</p>", f"{LINE} x"),
+    "main of a heading": (f"<main><h1>Head</h1></main><div><p>{LINE}</p><p>{LINE}</p></div>", f"Head\n{LINE}\n{LINE}"),
+    "cells": (f"<article><table><tr><td>{LINE}</td><td>{LINE} x</td></tr></table></article>", f"{LINE}\n{LINE} x"),
+    "sign-up form in an article": (f"<article><p>{LINE}</p><p>{LINE}</p><form><p>{LINE}</p></form></article>", f"{LINE}\n{LINE}"),
+}
+
+
+@pytest.mark.parametrize("case", HARD)
+def test_hard_pages(case):
+    assert html_extract.main_text(f"<html><body>{HARD[case][0]}") == HARD[case][1]
+
+
+def test_extraction_keeps_every_row(spark):
+    kind = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", f"<p>{LINE}</p>", "x", "x"), (1, "u", f"<p>{LINE}</p>", "x", "x"), (None, None, None, None, None), (2, "v", "", "x", "x")]
+    got = html_extract.extract(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, LINE, len(LINE)), (1, LINE, len(LINE)), (2, "", 0)]
+    assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_long_runs_of_blanks_are_packed(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = [" " * 1_000_000, "\n" * 300_000 + "x", "a b " * 10, None]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, start int, id string")
+    slow = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = {k: len(slow.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+    assert {r["id"]: r["n"] for r in packing.pack(docs).groupBy("id").agg(F.sum("length").alias("n")).collect()} == want
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>", "<article", "&amp", "a" * 300_000, "<nav>" * 2000])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_extract.main_text(page), str)
