@@ -1,10 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags.  Whole elements that cannot hold an article
-(menus, footers, forms, scripts, and containers whose class, id or role says so) never give
-blocks.  Pass one decides by stop-word density, length and link density which blocks are
-text and which are boilerplate, and leaves short ones open.  Pass two gives an open block the
-label of its nearest decided neighbours.
+The page is cut into blocks at block-level tags.  Elements that never hold an article (menus,
+footers, scripts, and containers that a class, id or role names as nothing else) give no blocks.
+Pass one decides by stop-word density, length and link density which blocks are text and which
+are boilerplate, and leaves short ones open.  Pass two gives an open block the label of its
+nearest decided neighbours.  Marks of structure are evidence within these rules: where most of
+the text stands inside ``article`` or ``main``, what is outside is boilerplate and sparse blocks
+inside are open; forms are boilerplate unless they hold most of the page; on a page in a language
+without known stop words only length and link density decide.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Function words of the languages the pages come in (fixed values).
+#: Function words of the languages the pages come in.
 STOP_WORDS = frozenset(
     """a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on
     or our she so that the their them there they this to was we were what when which who will with would you your
@@ -31,7 +34,7 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements whose content is never article text.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog datalist map math title".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option textarea iframe object svg canvas audio video menu dialog datalist map math title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block.
@@ -45,6 +48,8 @@ MARKS = frozenset(
     footer header masthead topbar toolbar copyright legal disclaimer social share sharing related recommended
     recommendations comment comments reply replies disqus respond search skip toc""".split()
 )
+#: Words that may stand beside a mark without making it something else: "comment-list" is one, "related-work" is none.
+PLAIN = frozenset("area bar block body bottom box btn button buttons col column container content cta feed floating footer global group head holder inline inner item items left link links list main middle mobile outer page panel post right row section site slot small sticky strip text title top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -53,6 +58,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\u0e00-\u0eff]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -64,37 +71,55 @@ class Block:
     linked: int
     heading: bool
     inside: bool  # of an article or main element
+    form: bool  # inside a form
+
+
+def _size(text: str) -> int:
+    """Words; where a script has no blanks, two characters count as one."""
+    return len(text.split()) + len(_CJK.findall(text)) // 2
+
+
+def _marked(value: str) -> bool:
+    """Whether one of the names in a class or id is made of marks, and of words that add nothing."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in PLAIN or len(w) == 1 for w in words):
+            return True
+    return False
 
 
 def _dropped(name: str, attrs: str, inside: bool) -> bool:
     if name in DROPPED or name == "header" and not inside:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "article", "main", "form") or name in HEADINGS:
         return False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+        if key in ("class", "id") and _marked(value):
             return True
         if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return True
-    return bool(re.search(r"\shidden(?=[\s/]|$)", attrs))
+    return bool(re.search(r"\shidden(?=[\s/=]|$)", _QUOTED.sub(" ", attrs)))
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order.  Character references are decoded and white space made single spaces."""
     out: list[Block] = []
     parts: list[tuple[bool, str]] = []
-    heading, article, links = False, 0, 0
-    skip, depth = "", 0  # element that is being dropped, and how deep it is nested in itself
+    heading, article, links, form = False, 0, 0, 0
+    level = linked_at = 0  # blocks open now, and when the link was opened
+    skip, depth, since = "", 0, 0  # element that is being dropped, how deep it is nested in itself, and where it began
+    never_closed: set[str] = set()
     raw_end: re.Pattern | None = None
 
     def flush() -> None:
         if parts:
             words = html.unescape("".join(t for _, t in parts)).split()
             if words:
-                linked = sum(len(html.unescape(t).split()) for a, t in parts if a)
+                linked = sum(_size(html.unescape(t)) for a, t in parts if a)
                 stops = sum(w.strip(".,;:!?\"'()[]*#$%&|<>«»„“”…-").lower() in STOP_WORDS for w in words)
-                out.append(Block(" ".join(words), len(words), stops, linked, heading, article > 0))
+                text = " ".join(words)
+                out.append(Block(text, _size(text), stops, linked, heading, article > 0, form > 0))
             parts.clear()
 
     at = 0
@@ -123,7 +148,11 @@ def blocks(page: str) -> list[Block]:
                 depth += -1 if closing else 0 if m["attrs"].endswith("/") else 1
                 if not depth:
                     skip = ""
-            elif closing and name in ("body", "html") or not closing and name in ("article", "main") and skip not in ("nav", "aside", "form"):
+            elif closing and name in ("body", "html"):
+                never_closed.add(skip)  # so it says nothing: read on from its beginning
+                at, skip, depth = since, "", 0
+                continue
+            elif not closing and name in ("article", "main") and skip not in ("nav", "aside"):
                 skip, depth = "", 0  # it was never closed
             else:
                 if not closing and name in RAW:
@@ -131,45 +160,51 @@ def blocks(page: str) -> list[Block]:
                 continue
             if skip or closing:
                 continue
-        if not closing and name not in VOID and _dropped(name, m["attrs"], article > 0):
+        if not closing and name not in VOID and name not in never_closed and _dropped(name, m["attrs"], article > 0):
             if name not in INLINE:
                 flush()
             if not m["attrs"].endswith("/"):
-                skip, depth = name, 1
+                skip, depth, since = name, 1, at
                 if name in RAW:
                     raw_end = re.compile(rf"</{re.escape(name)}", re.I)
             continue
         if name == "br":
             parts.append((False, " "))
         if name == "a":
-            links = 0 if closing else 1
+            links, linked_at = 0 if closing else 1, level
         if name in INLINE:
             continue
         flush()
-        links = 0
+        if name not in VOID:
+            level = max(0, level + (-1 if closing else 1))
+            if level < linked_at:
+                links = 0  # the block in which the link was opened is over
         heading = name in HEADINGS and not closing
         if name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
+        if name == "form":
+            form = max(0, form + (-1 if closing else 1))
     flush()
     return out
 
 
 def decide(found: list[Block], stop_low: float = 0.05, stop_high: float = 0.12, short: int = 10, link_high: float = 0.5) -> list[bool]:
-    """Pass one and two; True is article text.
-
-    In a page that marks its article, blocks outside are boilerplate, and inside a block of
-    ``short`` words or more is text unless most of it is links.  Elsewhere stop words decide.
-    """
-    marked = any(b.inside for b in found)
+    """Pass one and two; True is article text."""
+    whole = sum(b.words for b in found)
+    in_form = 2 * sum(b.words for b in found if b.form) > whole
+    usable = [b for b in found if (in_form or not b.form) and b.linked <= link_high * b.words]
+    # Most text in the marked article: the mark is to be believed.
+    marked = 2 * sum(b.words for b in usable if b.inside) >= sum(b.words for b in usable) and any(b.inside for b in usable)
+    known = sum(b.stops for b in usable) >= stop_low * sum(b.words for b in usable)
 
     def first(b: Block) -> bool | None:
-        if marked and not b.inside or b.linked > link_high * b.words:
+        if marked and not b.inside or b.form and not in_form or b.linked > link_high * b.words:
             return False
         if b.words < short:
             return None
-        if b.inside or b.stops >= stop_high * b.words:
+        if not known or b.stops >= stop_high * b.words:
             return True
-        return False if b.stops < stop_low * b.words else None
+        return False if b.stops < stop_low * b.words and not b.inside else None
 
     labels = [first(b) for b in found]
     near = [k for k, x in enumerate(labels) if x is not None and (not marked or found[k].inside)]
@@ -182,7 +217,7 @@ def decide(found: list[Block], stop_low: float = 0.05, stop_high: float = 0.12,
             j += 1
         before, after = near[j - 1] if j else None, near[j] if j < len(near) else None
         if before is None and after is None:
-            out.append(found[k].inside or found[k].heading or not marked and found[k].stops > 0)
+            out.append(found[k].inside or found[k].heading or not marked and (found[k].stops > 0 or not known))
         elif before is None or after is None:
             out.append(bool(labels[after if before is None else before]))
         elif labels[before] == labels[after]:
