@@ -207,7 +207,7 @@ def decide(found: list[Block], stop_low: float = 0.05, stop_high: float = 0.12,
         return False if b.stops < stop_low * b.words and not b.inside else None
 
     labels = [first(b) for b in found]
-    near = [k for k, x in enumerate(labels) if x is not None and (not marked or found[k].inside)]
+    near = [k for k, x in enumerate(labels) if x is not None and (not marked or found[k].inside) and (in_form or not found[k].form)]
     out, j = [], 0
     for k, x in enumerate(labels):
         if x is not None:
