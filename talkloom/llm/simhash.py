@@ -5,11 +5,11 @@ Seven structured bit masks over the 64 bits cover radius 2: bit ``i`` carries th
 vectors always leave a non-zero ``a`` orthogonal to both, so any two fingerprints that
 differ in at most two bits agree under some mask: no pair is missed.
 
-Fingerprints that collide under a mask are verified without listing pairs.  Two of them
-differ in at most two bits exactly when some 64-bit value lies within one bit of both, so
-each emits itself and its 64 one-bit neighbours, and equal values link to their smallest
-member.  At most 65 fingerprints can meet in such a value, whatever the size of a group of
-copies.
+Distinct fingerprints that collide under a mask are verified in their bucket, which yields the
+links of a spanning forest.  A bucket of over ``GROUP`` is not compared pair by pair: two values
+differ in at most two bits exactly when some 64-bit value lies within one bit of both, so each of
+its members emits itself and its 64 one-bit neighbours, and equal values link to their smallest
+member.  At most 65 fingerprints can meet in such a value.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import components, cut
 SEED = 42
 MASKS = [sum(1 << i for i in range(64) if bin(a & (i % 7 + 1)).count("1") % 2) for a in range(1, 8)]
 _CHUNK = 1 << 16
+#: Fingerprints that a bucket may hold to be compared with one another.
+GROUP = 64
 
 
 def signed(x: int) -> int:
@@ -65,18 +67,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def forest(values: np.ndarray) -> list[tuple[int, int]]:
+    """Links (value, head) that connect the values within two bits of one another, each head smaller."""
+    values = np.sort(values)
+    bits = values.view(np.uint64)
+    left, right = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 2, 1))
+    head = list(range(len(values)))
+
+    def top(k: int) -> int:
+        while head[k] != k:
+            k = head[k]
+        return k
+
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = sorted((top(a), top(b)))
+        head[b] = a
+    return [(int(values[k]), int(values[top(k)])) for k in range(len(values)) if top(k) != k]
+
+
+def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     """Links ``(fp, head)`` that connect all fingerprints within two bits of one another.
 
-    ``nodes`` has distinct ``fp``.  Rows grow as 7 a node, and 65 for each that shares a bucket.
+    ``nodes`` has distinct ``fp``.  Rows grow as 7 a node, and 65 for each in a bucket of over ``group``.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for bucket in batch.column(0) for x in forest(np.array(bucket.as_py(), np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["fp", "head"])
+
     tables = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(MASKS)])).alias("t")).select("fp", "t.*")
-    shared = tables.groupBy("k", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("k", "key")
-    members = tables.join(shared, ["k", "key"], "left_semi").select("fp").distinct()
+    sizes = tables.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(tables.join(sizes, ["k", "key"]))
+    buckets = met.where(F.col("size") <= group).groupBy("k", "key").agg(F.collect_list("fp").alias("bucket"))
+    small = buckets.select("bucket").mapInArrow(run, "fp bigint, head bigint")
+    members = met.where(F.col("size") > group).select("fp").distinct()
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
     halfway = members.select("fp", F.explode(near).alias("z"))
     heads = halfway.select("fp", F.min("fp").over(Window.partitionBy("z")).alias("head"))
-    return heads.where("fp <> head").distinct()
+    return small.unionByName(heads.where("fp <> head")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:

@@ -83,14 +83,15 @@ def test_simhash_is_brute_force(spark):
         assert (fp % 2**64, c) == (fps[i], want[i])
 
 
-def test_links_join_neighbours_of_a_full_ball(spark):
+@pytest.mark.parametrize("group", [2, 64, 1000])
+def test_links_join_neighbours_of_a_full_ball(spark, group):
     """A value, its 64 neighbours, and a chain at distance two: one class; a value three bits off is apart."""
     draw = random.Random(1)
     z = draw.getrandbits(64)
     near = [z] + [z ^ (1 << k) for k in range(64)] + [z ^ 0b111 << 10 ^ 0b1 << 50 ^ 0b111 << 20]
     far = z ^ 0xFFFF << 8
     nodes = spark.createDataFrame([(simhash.signed(x),) for x in {*near, far}], "fp long")
-    label = {r["node"]: r["label"] for r in common.components(simhash.links(nodes), "fp", "head").collect()}
+    label = {r["node"]: r["label"] for r in common.components(simhash.links(nodes, group), "fp", "head").collect()}
     assert len({label[simhash.signed(x)] for x in near[:65]}) == 1
     assert simhash.signed(far) not in label and simhash.signed(near[65]) not in label
 
