@@ -2,17 +2,19 @@
 
 Candidates share a key: one of seven covering SimHash masks, or one of 32 bands of six min-hashes.
 At similarity 0.8 a pair shares no band with probability ``(1 - 0.8^6)^32 = 6e-5``, at 0.9 below
-1e-10.  Every candidate is verified on the whole shingle sets.
+1e-10.  The share of equal min-hashes, of which a byte each is at hand, rules out candidates seven
+deviations below the similarity; the others are verified on the whole shingle sets.
 
 In id order a document goes if it reaches the similarity with one that stays.  In a round a
 document stays if it comes first among the undecided of all its keys; the others of its keys are
 compared with it, and those unlike it are carried into the next round.  A key has one document that
-stays per round, so a group of copies costs one comparison each.
+stays per round, so a group of copies costs one comparison each; a key with one undecided document
+left says nothing more and is forgotten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, sieve, sifted
+from .common import forget, kept, sieve, sifted
 from .substring_dedup import mix, word_hashes
 
 BANDS = 32
@@ -43,13 +45,14 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def keys_of(found: np.ndarray, fp: int) -> np.ndarray:
-    low = np.array([(found * f).min() for f in _FACTORS] if len(found) else [0] * len(_FACTORS), dtype=np.uint64).reshape(BANDS, ROWS)
-    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+def keys_of(found: np.ndarray, fp: int) -> tuple[np.ndarray, bytes]:
+    """Keys of a shingle set, and a byte of each of its min-hashes."""
+    low = np.array([(found * f).min() for f in _FACTORS] if len(found) else [0] * len(_FACTORS), dtype=np.uint64)
+    rows, band = low.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
-        band = mix(band * _ODD + low[:, k])
+        band = mix(band * _ODD + rows[:, k])
     masked = mix(mix(_MASKS & np.uint64(fp)) + np.arange(BANDS + 1, BANDS + 8, dtype=np.uint64))
-    return np.unique(np.concatenate([band, masked])).view(np.int64)
+    return np.unique(np.concatenate([band, masked])).view(np.int64), (mix(low) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def row_order(id_col: str, text_col: str) -> Column:
@@ -59,66 +62,102 @@ def row_order(id_col: str, text_col: str) -> Column:
     return (id_.cast("decimal(20,0)") * F.lit(str(1 << 59)).cast("decimal(18,0)") + text).cast("decimal(38,0)")
 
 
-def _rows(docs: DataFrame, text_col: str, size: int, whole: bool) -> DataFrame:
-    """``ord, digest`` and, if ``whole``, the shingle set, else ``n`` of its shingles and the keys."""
+def _nodes(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``ord, digest, n, sign, keys`` of every row: of its shingle set the digest, the size, and what ``keys_of`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, n, more = [], [], []
+            digest, n, sign, keys = [], [], [], []
             for t in batch.column(1):
                 text = t.as_py()
                 found = shingle_set(text, size)
                 digest.append(int(mix(np.bitwise_xor.reduce(mix(found + _ODD), keepdims=True) + np.uint64(len(found)))[0].view(np.int64)))
                 n.append(len(found))
-                more.append(found.tobytes() if whole else keys_of(found, simhash.fingerprint(text, size)))
-            columns = [batch.column(0), pa.array(digest, pa.int64()), pa.array(n, pa.int32()), pa.array(more, pa.binary() if whole else pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["ord", "digest", "n", "more"])
+                own, low = keys_of(found, simhash.fingerprint(text, size))
+                keys.append(own)
+                sign.append(low)
+            columns = [batch.column(0), pa.array(digest, pa.int64()), pa.array(n, pa.int32()), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["ord", "digest", "n", "sign", "keys"])
 
-    return docs.select("__ord", text_col).mapInArrow(run, f"ord decimal(38,0), digest bigint, n int, more {'binary' if whole else 'array<bigint>'}")
+    return docs.select("__ord", text_col).mapInArrow(run, "ord decimal(38,0), digest bigint, n int, sign binary, keys array<bigint>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``ord`` of the pairs (ord, low) whose shingle sets reach the similarity."""
+def _sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``ord, shingles``; four bytes of each hash, which blurs a similarity by less than 1e-5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                hit.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=["ord"])
+            sets = [np.unique(shingle_set(t.as_py(), size).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["ord", "shingles"])
 
-    both = pairs.join(sets, "ord").join(sets.select(F.col("ord").alias("low"), F.col("more").alias("other")), "low")
-    return both.select("ord", "more", "other").mapInArrow(run, "ord decimal(38,0)").distinct()
+    return docs.select("__ord", text_col).mapInArrow(run, "ord decimal(38,0), shingles binary")
+
+
+def _chosen(pairs: DataFrame, a: str, b: str, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """``ord, low`` of the pairs whose binary columns ``a`` and ``b`` pass the test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array([test(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["ord", "low"])
+
+    return pairs.select("ord", "low", a, b).mapInArrow(run, "ord decimal(38,0), low decimal(38,0)")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """``ord, low`` of the pairs whose shingle sets reach the similarity."""
+
+    def likely(x: bytes, y: bytes) -> bool:
+        same = np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) / len(_FACTORS)
+        return same >= similarity - 7 * (similarity * (1 - similarity) / len(_FACTORS)) ** 0.5
+
+    def near(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both)
+
+    own = nodes.select("ord", "n", "sign")
+    heads = own.select(F.col("ord").alias("low"), F.col("n").alias("m"), F.col("sign").alias("low_sign"))
+    sized = pairs.join(own, "ord").join(heads, "low").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    close, path = kept(_chosen(sized, "sign", "low_sign", likely), "near-close")
+    wanted = close.select("ord").unionByName(close.select(F.col("low").alias("ord"))).distinct()
+    some = sifted(docs.select("__ord", text_col), "__ord", sieve(wanted.withColumnRenamed("ord", "__ord"), "__ord")).where("__maybe")
+    # Rows of one id and one text are the same row here.
+    sets = _sets(some, text_col, size).join(wanted, "ord", "left_semi").dropDuplicates(["ord"])
+    both = close.join(sets.withColumnRenamed("ord", "low").withColumnRenamed("shingles", "other"), "low").join(sets, "ord")
+    hits, _ = kept(_chosen(both, "shingles", "other", near).select("ord").distinct(), "near-hits")
+    forget(docs.sparkSession, path)
+    return hits
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the rows that reach ``similarity`` with one that stays and comes before.
 
-    Rows that share an id, or have none, are judged by their texts like any other; of wordless texts
-    the first stays.  Ids are integers.
+    Rows that share an id, or have none, are judged by their texts like any other; of equal rows, and
+    of wordless texts, the first stays.  Ids are integers.  Empty input gives no rows; other columns pass through.
     """
+    spark, columns = docs.sparkSession, docs.columns
     docs = docs.withColumn("__ord", row_order(id_col, text_col))
-    rows = _rows(docs, text_col, size, False).groupBy("digest").agg(F.min_by(F.struct("ord", "n", "more"), "ord").alias("r"))
-    nodes = cut(rows.select("digest", "r.*"))
-    by_key = nodes.select("ord", "n", F.explode("more").alias("key"))
-    shared = by_key.groupBy("key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("key")
-    left = cut(by_key.join(shared, "key", "left_semi"))
-    members = left.select("ord").distinct()
-    own = sifted(docs, "__ord", sieve(members, "ord")).where("__maybe")
-    # Rows of one id and one text are the same row here.
-    sets = cut(_rows(own, text_col, size, True).join(members, "ord", "left_semi").dropDuplicates(["ord"]).select("ord", "more"))
-    gone = members.where("false")
+    first = F.min_by(F.struct("ord", "n", "sign", "keys"), "ord").alias("r")
+    nodes, _ = kept(_nodes(docs, text_col, size).groupBy("digest").agg(first).select("r.*"), "near-nodes")
+    by_key = nodes.select("ord", F.explode("keys").alias("key"))
+
+    def met(rows: DataFrame) -> tuple[DataFrame, str]:
+        """The rows whose key has two or more."""
+        sizes = rows.groupBy("key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("key")
+        return kept(rows.join(sizes, "key", "left_semi"), "near-left")
+
+    left, path = met(by_key)
+    gone = nodes.select("ord").where("false")
     while not left.isEmpty():
-        low = left.groupBy("key").agg(F.min("ord").alias("low"))
-        judged = left.join(low, "key")
-        stays = cut(judged.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("s"), F.max("n").alias("m")).where("s").select(F.col("ord").alias("low"), "m"))
-        near = F.least("n", "m") >= similarity * F.greatest("n", "m")
-        pairs = judged.where("ord <> low").join(stays, "low").where(near).select("ord", "low").distinct()
-        hits = cut(_alike(pairs, sets, similarity))
+        judged = left.join(left.groupBy("key").agg(F.min("ord").alias("low")), "key")
+        stays = judged.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("s")).where("s").select(F.col("ord").alias("low"))
+        pairs = judged.where("ord <> low").join(stays, "low", "left_semi").select("ord", "low").distinct()
+        hits = _alike(pairs, nodes, docs, text_col, size, similarity)
         gone = gone.unionByName(hits)
         done = hits.unionByName(stays.select(F.col("low").alias("ord")))
-        left = cut(left.join(done, "ord", "left_anti"))
-    kept = nodes.select(F.col("ord").alias("__ord")).join(gone.withColumnRenamed("ord", "__ord"), "__ord", "left_anti")
-    return docs.join(kept, "__ord", "left_semi").dropDuplicates(["__ord"]).drop("__ord")
+        rest, old = left.join(done, "ord", "left_anti"), path
+        left, path = met(rest)
+        forget(spark, old)
+    staying = nodes.select(F.col("ord").alias("__ord")).join(gone.withColumnRenamed("ord", "__ord"), "__ord", "left_anti")
+    return docs.join(staying, "__ord", "left_semi").dropDuplicates(["__ord"]).select(*[F.col(f"`{c}`") for c in columns])
