@@ -5,11 +5,12 @@ At similarity 0.8 a pair shares no band with probability ``(1 - 0.8^6)^32 = 6e-5
 1e-10.  The share of equal min-hashes, of which a byte each is at hand, rules out candidates seven
 deviations below the similarity; the others are verified on the whole shingle sets.
 
-In id order a document goes if it reaches the similarity with one that stays.  In a round a
-document stays if it comes first among the undecided of all its keys; the others of its keys are
-compared with it, and those unlike it are carried into the next round.  A key has one document that
-stays per round, so a group of copies costs one comparison each; a key with one undecided document
-left says nothing more and is forgotten.
+In id order a document goes if it reaches the similarity with one that stays.  The candidates of a key
+of up to ``GROUP`` documents are found in its bucket and verified once; each verified link is from
+then on a key of its own.  A larger key stays as it is.  In a round a document stays if it comes
+first among the undecided of all its keys; the others of a large key are compared with it, and
+those unlike it are carried into the next round, so a large group of copies costs one comparison
+each.  A key with one undecided document left says nothing more and is forgotten.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .substring_dedup import mix, word_hashes
 
 BANDS = 32
 ROWS = 6
+#: Documents that a key may hold to be compared with one another.
+GROUP = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array(simhash.MASKS, dtype=np.uint64)
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
@@ -104,28 +107,57 @@ def _chosen(pairs: DataFrame, a: str, b: str, test: Callable[[bytes, bytes], boo
     return pairs.select("ord", "low", a, b).mapInArrow(run, "ord decimal(38,0), low decimal(38,0)")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``ord, low`` of the pairs whose shingle sets reach the similarity."""
+def _least(similarity: float) -> float:
+    """The share of equal min-hashes below which a pair cannot reach the similarity, but for chance seven deviations off."""
+    return similarity - 7 * (similarity * (1 - similarity) / len(_FACTORS)) ** 0.5
+
+
+def _in_buckets(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``ord, low`` of the likely pairs that share one of the small keys (``met``: ord, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple] = set()
+            for bucket in batch.column(0).to_pylist():
+                sign = np.frombuffer(b"".join(x["sign"] for x in bucket), np.uint8).reshape(len(bucket), -1)
+                n = np.array([x["n"] for x in bucket])
+                for k in range(1, len(bucket)):  # sorted by ord
+                    likely = (sign[:k] == sign[k]).mean(axis=1) >= _least(similarity)
+                    likely &= np.minimum(n[:k], n[k]) >= similarity * np.maximum(n[:k], n[k])
+                    out.update((bucket[k]["ord"], bucket[j]["ord"]) for j in np.flatnonzero(likely).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.decimal128(38, 0)) for k in (0, 1)], names=["ord", "low"])
+
+    member = F.struct("ord", "n", "sign")
+    buckets = met.join(nodes.select("ord", "n", "sign"), "ord").groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("bucket"))
+    return buckets.select("bucket").mapInArrow(run, "ord decimal(38,0), low decimal(38,0)").distinct()
+
+
+def _to_heads(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The likely ones of pairs ``ord, low``."""
 
     def likely(x: bytes, y: bytes) -> bool:
-        same = np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) / len(_FACTORS)
-        return same >= similarity - 7 * (similarity * (1 - similarity) / len(_FACTORS)) ** 0.5
+        return np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= _least(similarity) * len(_FACTORS)
+
+    heads = nodes.select(F.col("ord").alias("low"), F.col("n").alias("m"), F.col("sign").alias("low_sign"))
+    sized = pairs.join(nodes.select("ord", "n", "sign"), "ord").join(heads, "low").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    return _chosen(sized, "sign", "low_sign", likely)
+
+
+def _alike(likely: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """``ord, low`` of the pairs whose shingle sets reach the similarity."""
 
     def near(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= similarity * (len(a) + len(b) - both)
 
-    own = nodes.select("ord", "n", "sign")
-    heads = own.select(F.col("ord").alias("low"), F.col("n").alias("m"), F.col("sign").alias("low_sign"))
-    sized = pairs.join(own, "ord").join(heads, "low").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-    close, path = kept(_chosen(sized, "sign", "low_sign", likely), "near-close")
+    close, path = kept(likely, "near-close")
     wanted = close.select("ord").unionByName(close.select(F.col("low").alias("ord"))).distinct()
     some = sifted(docs.select("__ord", text_col), "__ord", sieve(wanted.withColumnRenamed("ord", "__ord"), "__ord")).where("__maybe")
     # Rows of one id and one text are the same row here.
     sets = _sets(some, text_col, size).join(wanted, "ord", "left_semi").dropDuplicates(["ord"])
     both = close.join(sets.withColumnRenamed("ord", "low").withColumnRenamed("shingles", "other"), "low").join(sets, "ord")
-    hits, _ = kept(_chosen(both, "shingles", "other", near).select("ord").distinct(), "near-hits")
+    hits, _ = kept(_chosen(both, "shingles", "other", near), "near-hits")
     forget(docs.sparkSession, path)
     return hits
 
@@ -142,21 +174,33 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     nodes, _ = kept(_nodes(docs, text_col, size).groupBy("digest").agg(first).select("r.*"), "near-nodes")
     by_key = nodes.select("ord", F.explode("keys").alias("key"))
 
+    own = F.xxhash64("ord", "low")
+
     def met(rows: DataFrame) -> tuple[DataFrame, str]:
-        """The rows whose key has two or more."""
-        sizes = rows.groupBy("key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("key")
-        return kept(rows.join(sizes, "key", "left_semi"), "near-left")
+        """The rows whose key has two or more, with that number."""
+        sizes = rows.groupBy("sure", "key").agg(F.count("*").alias("size")).where("size > 1")
+        return kept(rows.join(sizes, ["sure", "key"]), "near-left")
 
-    left, path = met(by_key)
+    left, path = met(by_key.withColumn("sure", F.lit(False)))
     gone = nodes.select("ord").where("false")
     while not left.isEmpty():
-        judged = left.join(left.groupBy("key").agg(F.min("ord").alias("low")), "key")
+        few = left.where(~F.col("sure") & (F.col("size") <= GROUP)).select("ord", "key")
+        if not few.isEmpty():  # keys that are small, or have become so, turn into their verified links
+            links = _alike(_in_buckets(few, nodes, similarity), docs, text_col, size, similarity)
+            ends = links.select("ord", own.alias("key")).unionByName(links.select(F.col("low").alias("ord"), own.alias("key")))
+            others, old = left.where(F.col("sure") | (F.col("size") > GROUP)).select("ord", "key", "sure"), path
+            left, path = met(others.unionByName(ends.withColumn("sure", F.lit(True))))
+            forget(spark, old)
+        judged = left.join(left.groupBy("sure", "key").agg(F.min("ord").alias("low")), ["sure", "key"])
         stays = judged.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("s")).where("s").select(F.col("ord").alias("low"))
-        pairs = judged.where("ord <> low").join(stays, "low", "left_semi").select("ord", "low").distinct()
-        hits = _alike(pairs, nodes, docs, text_col, size, similarity)
+        pairs = judged.where("ord <> low").join(stays, "low", "left_semi").select("sure", "ord", "low").distinct()
+        hits = kept(pairs.where("sure").select("ord").distinct(), "near-hits")[0]
+        if not left.where("not sure").isEmpty():
+            unsure = pairs.where("not sure").select("ord", "low")
+            hits = hits.unionByName(_alike(_to_heads(unsure, nodes, similarity), docs, text_col, size, similarity).select("ord").distinct())
         gone = gone.unionByName(hits)
         done = hits.unionByName(stays.select(F.col("low").alias("ord")))
-        rest, old = left.join(done, "ord", "left_anti"), path
+        rest, old = left.join(done, "ord", "left_anti").select("ord", "key", "sure"), path
         left, path = met(rest)
         forget(spark, old)
     staying = nodes.select(F.col("ord").alias("__ord")).join(gone.withColumnRenamed("ord", "__ord"), "__ord", "left_anti")
