@@ -32,6 +32,7 @@ ROWS = 6
 GROUP = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array(simhash.MASKS, dtype=np.uint64)
+_BLOCK = 512  # shingles times factors that stay in a processor's cache
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
@@ -50,7 +51,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 def keys_of(found: np.ndarray, fp: int) -> tuple[np.ndarray, bytes]:
     """Keys of a shingle set, and a byte of each of its min-hashes."""
-    low = np.array([(found * f).min() for f in _FACTORS] if len(found) else [0] * len(_FACTORS), dtype=np.uint64)
+    low = np.zeros(len(_FACTORS), np.uint64)
+    for at in range(0, len(found), _BLOCK):
+        part = np.multiply.outer(_FACTORS, found[at : at + _BLOCK]).min(axis=1)
+        low = np.minimum(low, part) if at else part
     rows, band = low.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         band = mix(band * _ODD + rows[:, k])
