@@ -111,3 +111,8 @@ def nearest_rank(values: Column, p: float) -> Column:
     """The value at half-even-rounded rank p/100 (n - 1) of an array; null if it is empty."""
     ranked = F.array_sort(values)
     return F.when(F.size(values) > 0, F.get(ranked, F.bround(F.lit(p / 100) * (F.size(values) - 1)).cast("int")))
+
+
+def short_hash(x: Column) -> Column:
+    """The first eight hex digits of SHA-1."""
+    return F.substring(F.sha1(x), 1, 8)

@@ -29,9 +29,11 @@ def validation_size(n: Column, least: int, share: float, guard: bool = True) ->
     return F.when((v > n) & F.lit(guard), F.floor(n / 10).cast("bigint")).otherwise(v)
 
 
-def split(df: DataFrame, key: str, least: int = 50, share: float = 0.15, seed: str = "split", tail: bool = False, buckets: int = 4096) -> DataFrame:
+def split(df: DataFrame, key: str, least: int = 50, share: float = 0.15, seed: str = "split", tail: bool = False, buckets: int = 4096, guard: bool = True) -> DataFrame:
     """``df`` with ``split``: the first rows in shuffled order (the last with ``tail``) are ``val``.
 
+    Without ``guard`` a table of fewer rows than ``least`` is all ``val``.
+
     The rank of a row is its rank in a bucket of the order's first hex digits plus the sizes of the
     buckets before, a table of fixed size; no global sort meets in one task.
     """
@@ -42,7 +44,7 @@ def split(df: DataFrame, key: str, least: int = 50, share: float = 0.15, seed: s
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__s").over(w), F.lit(0))).withColumn("__total", F.sum("__s").over(Window.partitionBy()))
     own = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
     ranked = rows.withColumn("__n", own).join(sizes.drop("__s"), "__b")
-    rank, v = F.col("__n") + F.col("__before"), validation_size(F.col("__total"), least, share)
+    rank, v = F.col("__n") + F.col("__before"), validation_size(F.col("__total"), least, share, guard)
     first = rank <= v if not tail else rank > F.col("__total") - v
     return ranked.withColumn("split", F.when(first, "val").otherwise("train")).drop("__h", "__b", "__n", "__before", "__total")
 

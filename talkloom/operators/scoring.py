@@ -119,3 +119,8 @@ def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
 def weighted_loss(df: DataFrame, loss: str, weight: str, by: list[str] | None = None) -> DataFrame:
     agg = (F.sum(F.col(loss) * F.col(weight)) / F.sum(weight)).alias("loss")
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+
+
+def unknown_ids(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct ids of ``rows`` that ``known`` has no row for, each with a warning."""
+    return rows.select(key).distinct().join(known.select(key), key, "left_anti").select(key, F.concat(F.lit("unknown id: "), F.col(key).cast("string")).alias("warning"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talkloom.functions.text import n_words, strip
+from talkloom.functions.text import contains_any, n_words, strip
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -243,3 +243,26 @@ def from_tagged_lines(tagged: Column) -> Column:
         return F.when(role != "", F.concat(a, F.array(message(role, rest)))).when(F.size(a) > 0, joined).otherwise(a)
 
     return F.aggregate(lines, F.array().cast(MESSAGE), step)
+
+
+def stop_reasons(c: Column, phrases: list[str], most: int) -> Column:
+    """Why a simulated talk ends: struct(ended, disengaged, at_limit).
+
+    A phrase in the last user turn, one word or none in the last two of them, or ``most`` user turns.
+    """
+    said = of_role(c, "user")
+    last, before = F.try_element_at(said, F.lit(-1))["content"], F.try_element_at(said, F.lit(-2))["content"]
+    ended = contains_any(F.lower(last), phrases)
+    terse = (n_words(last) <= 1) & (n_words(before) <= 1)
+    no = F.lit(False)
+    return F.struct(F.coalesce(ended, no).alias("ended"), F.coalesce((F.size(said) > 1) & terse, no).alias("disengaged"), (F.size(said) >= most).alias("at_limit"))
+
+
+def parity(c: Column, preamble: str, header: str | None = None) -> Column:
+    """What keeps a conversation from the format that training expects, null if nothing does.
+
+    The first system turn must hold ``preamble``, and ``header`` too where one is given.
+    """
+    system = F.get(of_role(c, "system"), 0)["content"]
+    why = F.when(system.isNull(), "no system message").when(~F.contains(system, F.lit(preamble)), F.concat(F.lit("missing preamble: "), F.substring(F.replace(system, F.lit("\n"), F.lit("\\n")), 1, 120)))
+    return why if header is None else F.when(why.isNotNull(), why).when(~F.contains(system, F.lit(header)), "missing header")

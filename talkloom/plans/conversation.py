@@ -249,6 +249,20 @@ def w11_f26_stop_conditions(spark, sf_dir):
     return u.groupBy("conv_id").agg(F.bool_or(F.coalesce((F.col("n") <= 4) & (F.col("p") <= 4), F.lit(False))).alias("terse"), F.bool_or(F.col("next").isNull() & (F.col("n") <= 4)).alias("last_terse"))
 
 
+@query(sql=f"""WITH {CONV}, u AS (SELECT conv_id, list_transform(list_filter(c, lambda m: m.role = 'user'), lambda m: m.content) AS u FROM conv),
+    n AS (SELECT conv_id, u, lower(u[len(u)]) AS last, {words_sql('u[len(u)]')} AS x, {words_sql('u[len(u) - 1]')} AS y FROM u)
+    SELECT conv_id, coalesce(contains(last, 'the end') OR contains(last, 'que'), false) AS ended, len(u) > 1 AND coalesce(x <= 1 AND y <= 1, false) AS disengaged, len(u) >= 3 AS at_limit FROM n""")
+def f26_stop(spark, sf_dir):
+    """Whether a talk ends by a phrase of its user, by two replies of a word, or by its length."""
+    s = conversations(spark, sf_dir).select("conv_id", turns.stop_reasons(F.col("c"), ["the end", "que"], 3).alias("s"))
+    return s.select("conv_id", "s.ended", "s.disengaged", "s.at_limit")
+
+
+@query(sql="SELECT conv_id, sha1(text)[1:8] AS h FROM conversations WHERE role = 'user'")
+def hash_sha1(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", text.short_hash(F.col("text")).alias("h"))
+
+
 @query(sql="SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS recent_chars FROM conversations")
 def w3_last_five(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)

@@ -143,13 +143,14 @@ def w7_average_rank(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scoring.average_rank("n_chars", ["lang"]).alias("r"))
 
 
-@query(sql="""WITH l AS (SELECT CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'fr' THEN 3 END AS level, quality = 1 AND toxic = 0 AS ok FROM documents JOIN labels USING (doc_id)),
+@query(sql="""WITH l AS (SELECT CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'fr' THEN 3 END AS level, quality = 1 AND toxic = 0 AS ok FROM documents RIGHT JOIN labels USING (doc_id)),
     r AS (SELECT avg(ok::INT) FILTER (level = 1) AS r1, avg(ok::INT) FILTER (level = 2) AS r2, avg(ok::INT) FILTER (level = 3) AS r3, count(*) AS n, count(*) FILTER (level IS NULL) AS m FROM l)
     SELECT round(r1, 6) AS rate_1, round(r2, 6) AS rate_2, round(r3, 6) AS rate_3, n, m AS n_missing_level, NOT (coalesce(r2 < r1 - 0.05, false) OR coalesce(r3 < r2 - 0.05, false) OR coalesce(r3 < r1 - 0.05, false)) AS monotonic FROM r""")
 def a12_j1_calibration(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
     level = F.when(F.col("lang") == "de", 1).when(F.col("lang") == "en", 2).when(F.col("lang") == "fr", 3)
-    c = scoring.calibration(d.select(level.alias("level"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok")), "level", "ok")
+    levels = table(spark, sf_dir, "documents").select("doc_id", level.alias("level")).where("level is not null")
+    d = table(spark, sf_dir, "labels").join(levels, "doc_id", "left")  # a label without a level counts as missing one
+    c = scoring.calibration(d.select("level", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok")), "level", "ok")
     return c.withColumns({f"rate_{k}": F.round(f"rate_{k}", 6) for k in (1, 2, 3)})
 
 
@@ -181,6 +182,13 @@ def j2_inner_known(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
 
 
+@query(sql="SELECT DISTINCT conv_id AS doc_id, 'unknown id: ' || conv_id AS warning FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)")
+def j2_unknown_ids(spark, sf_dir):
+    """Results whose definition is not known, as warnings."""
+    found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
+    return scoring.unknown_ids(found, table(spark, sf_dir, "labels"), "doc_id")
+
+
 @query(sql="SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def j10_semi(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")

@@ -204,10 +204,12 @@ def j5_merge_store(spark, sf_dir):
     return pairs.merge_store(d.withColumn("doc_id", F.col("doc_id") + 1000000), store, F.sha2("text", 256), "lang").select("doc_id", "lang")
 
 
-@query(sql="SELECT conv_id, max(turn) AS turn, bool_or(role = 'system') AS has_system FROM conversations GROUP BY conv_id")
+@query(sql=f"""WITH {CONV}, s AS (SELECT conv_id, list_filter(c, lambda m: m.role = 'system')[1].content AS s, list_filter(c, lambda m: m.role = 'user')[1].content AS u FROM conv),
+    w AS (SELECT conv_id, CASE WHEN s IS NULL THEN 'no system message' WHEN NOT contains(s, 'e') THEN 'missing preamble: ' || substr(replace(s, chr(10), chr(92) || 'n'), 1, 120) END AS lenient, s FROM s)
+    SELECT conv_id, lenient, CASE WHEN lenient IS NOT NULL THEN lenient WHEN NOT contains(s, 'th') THEN 'missing header' END AS strict FROM w""")
 def f28_parity(spark, sf_dir):
-    """Whether a conversation starts from a system turn, as training expects."""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.bool_or(F.col("role") == "system").alias("has_system"))
+    """What keeps each conversation from the format that training expects, with the header asked for and without."""
+    return conversations(spark, sf_dir).select("conv_id", turns.parity(F.col("c"), "e").alias("lenient"), turns.parity(F.col("c"), "e", "th").alias("strict"))
 
 
 @query(sql="SELECT event_id FROM events WHERE strftime(ts, '%Y%m%d') >= '20240115'")

@@ -55,6 +55,21 @@ def p6_dialogue_lines(spark, sf_dir):
     return c.where(turns.packable(F.col("c"))).select("conv_id", F.size("c").cast("bigint").alias("n"))
 
 
+@query(sql=r"""WITH m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS role, trim(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'), ' ') AS t FROM conversations)
+    SELECT conv_id, count(*) AS n, string_agg(role || '|' || t, chr(10) || '--' || chr(10) ORDER BY turn) AS body FROM m WHERE t <> '' GROUP BY conv_id""")
+def p6_dialogue_shapes(spark, sf_dir):
+    """Conversations written in five shapes of text blobs, and read back by one loader."""
+    plain = lambda m: turns.message(m["role"], F.trim(F.regexp_replace(m["content"], "[^a-zA-Z0-9 ]", "")))
+    c = conversations(spark, sf_dir).select("conv_id", F.filter(F.transform("c", plain), lambda m: m["content"] != "").alias("c")).where(F.size("c") > 0)
+    spoken = F.transform("c", lambda m: F.concat(F.when(m["role"] == "assistant", "sys: ").otherwise("Seeker - "), m["content"]))
+    listed = F.to_json(F.transform("c", lambda m: F.struct(F.lit("").alias("text"), m["content"].alias("utterance"), F.when(m["role"] == "assistant", "Therapist").otherwise("client").alias("speaker"))))
+    quoted = F.concat(F.lit("{'dialogs': ["), F.array_join(F.transform("c", lambda m: F.concat(F.lit("{'role': '"), m["role"], F.lit("', 'content': '"), m["content"], F.lit("'}"))), ", "), F.lit("]}"))
+    shapes = [F.to_json(F.struct(F.col("c").alias("conversation"))), listed, F.to_json(spoken), quoted, F.array_join(spoken, "\n")]
+    body = F.coalesce(*[F.when(F.col("conv_id") % len(shapes) == k, s) for k, s in enumerate(shapes)])
+    read = c.select("conv_id", files.dialogue(body).alias("c"))
+    return read.select("conv_id", F.size("c").cast("bigint").alias("n"), turns.flat(F.col("c")).alias("body"))
+
+
 @query(sql=f"WITH {CONV} SELECT conv_id, len(c) AS n, c[1].role AS first_role FROM conv")
 def d4_alternate_keys(spark, sf_dir):
     """``from``/``value`` items with other role names."""

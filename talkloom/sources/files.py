@@ -115,3 +115,52 @@ def dialogue_lines(body: Column) -> Column:
     named = F.transform(tagged, lambda x: F.struct(role(x).alias("role"), strip(F.regexp_extract(x, pattern, 2)).alias("content")))
     turned = F.transform(lines, lambda x, k: F.struct(F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), x.alias("content")))
     return F.when(F.size(tagged) > 0, named).otherwise(turned)
+
+
+#: Keys under which corpora keep a dialogue, an utterance and its speaker, in the order they are tried (fixed values).
+_DIALOGUE = ("dialog", "dialogs", "conversation", "conversations")
+_UTTERANCE = ("text", "utterance", "content", "sentence")
+_SPEAKER = ("speaker", "role", "agent_type", "who")
+
+
+def _said(u: Column) -> Column:
+    """A message of one utterance, a map: the first known key with text, else any text; unknown speakers are users."""
+    from talkloom.functions.text import strip
+    from talkloom.operators.turns import map_role, message
+
+    filled = lambda x: F.nullif(strip(x), F.lit(""))
+    known = [filled(F.try_element_at(u, F.lit(k))) for k in _UTTERANCE]
+    other = F.get(F.filter(F.transform(F.map_values(u), filled), lambda x: x.isNotNull()), 0)
+    speaker = F.coalesce(*[F.nullif(F.try_element_at(u, F.lit(k)), F.lit("")) for k in _SPEAKER])
+    return message(F.coalesce(map_role(speaker), F.lit("user")), F.coalesce(*known, other))
+
+
+def structured_dialogue(items: Column) -> Column:
+    """Messages of an ``array<map<string,string>>`` of utterances; those without text are dropped."""
+    return F.filter(F.transform(F.filter(items, lambda u: u.isNotNull()), _said), lambda m: m["content"].isNotNull())
+
+
+def dialogue(body: Column) -> Column:
+    """Messages of a text blob in any of the shapes that dialogue corpora use.
+
+    An object with a list of utterances, a list of utterances or of strings (prefixed, or else with
+    alternating roles), all as JSON or with single quotes; what gives no message so is read by lines.
+    """
+    from talkloom.functions.text import strip
+    from talkloom.operators.turns import message
+
+    raw = strip(body)
+    inner = F.from_json(F.when(raw.startswith("{"), raw), ", ".join(f"{k} string" for k in _DIALOGUE))
+    array = F.when(raw.startswith("["), raw)
+    listed = F.coalesce(*[F.nullif(inner[k], F.lit("[]")) for k in _DIALOGUE], array)
+    maps = structured_dialogue(F.from_json(F.when(listed.rlike(r"^\[\s*\{"), listed), "array<map<string,string>>"))
+    pattern = r"(?i)^\s*(usr|sys|seeker|supporter)\s*[:\-]\s*(.+)$"
+    texts = F.transform(F.from_json(F.when(~array.rlike(r"^\[\s*\{"), array), "array<string>"), lambda x: F.coalesce(strip(x), F.lit("")))
+    spoken = F.transform(
+        texts,
+        lambda x, k: F.when(x.rlike(pattern), message(F.when(F.lower(F.regexp_extract(x, pattern, 1)).isin("sys", "supporter"), "assistant").otherwise("user"), strip(F.regexp_extract(x, pattern, 2)))).otherwise(
+            message(F.when(k % 2 == 0, "user").otherwise("assistant"), x)
+        ),
+    )
+    spoken = F.filter(spoken, lambda m: m["content"] != "")
+    return F.when(F.size(maps) > 0, maps).when(F.size(spoken) > 0, spoken).otherwise(dialogue_lines(body))
