@@ -7,10 +7,12 @@ deviations below the similarity; the others are verified on the whole shingle se
 
 In id order a document goes if it reaches the similarity with one that stays.  The candidates of a key
 of up to ``GROUP`` documents are found in its bucket and verified once; each verified link is from
-then on a key of its own.  A larger key stays as it is.  In a round a document stays if it comes
-first among the undecided of all its keys; the others of a large key are compared with it, and
-those unlike it are carried into the next round, so a large group of copies costs one comparison
-each.  A key with one undecided document left says nothing more and is forgotten.
+then on a key of its own.  Of a larger key the first ``FRONT`` undecided documents are compared with one
+another, so in a round a document stays if it is in the fronts of all its larger keys and the first
+of all its links.  The documents behind the front are compared, in parts of ``FRONT``, with those of
+the front that stay; those unlike all of them move up in the next round.  So a group of copies, however
+large, goes in one round, and a group of unlike documents loses a whole front a round.  A key with
+one undecided document left says nothing more and is forgotten.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import simhash
 from .common import forget, kept, sieve, sifted
@@ -30,8 +33,11 @@ BANDS = 32
 ROWS = 6
 #: Documents that a key may hold to be compared with one another.
 GROUP = 32
+#: Documents of a larger key that are compared with one another in a round, and with so many others in a task.
+FRONT = 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array(simhash.MASKS, dtype=np.uint64)
+_COLUMNS = 4096  # of an incidence matrix
 _BLOCK = 512  # shingles times factors that stay in a processor's cache
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
@@ -136,15 +142,59 @@ def _in_buckets(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return buckets.select("bucket").mapInArrow(run, "ord decimal(38,0), low decimal(38,0)").distinct()
 
 
-def _to_heads(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The likely ones of pairs ``ord, low``."""
+def _places(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which set holds which of the sorted ``values``: numbers of sets, and of values in order."""
+    owner, each = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    at = np.searchsorted(values, each)
+    hit = values[np.minimum(at, len(values) - 1)] == each
+    owner, at = owner[hit], at[hit]
+    order = np.argsort(at, kind="stable")
+    return owner[order], at[order]
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sets ``a`` with sets ``b``, or with one another, as products of incidence matrices."""
+    if b is None:
+        values, n = np.unique(np.concatenate(a), return_counts=True)
+        values, b = values[n > 1], a
+    else:
+        values = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float64)
+    if not len(values):
+        return out
+    sides = [(len(x), *_places(x, values)) for x in (a, b)]
+    for start in range(0, len(values), _COLUMNS):
+        parts = []
+        for n, owner, at in sides:
+            lo, hi = np.searchsorted(at, (start, start + _COLUMNS))
+            part = np.zeros((n, _COLUMNS), np.float32)
+            part[owner[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compared(members: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """``ord, low`` of the pairs that reach the similarity: in a group of heads alone, all; else of heads with the others.
+
+    ``members``: ``ord, head, shingles`` and the columns ``by``, which tell the groups.
+    """
 
-    def likely(x: bytes, y: bytes) -> bool:
-        return np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= _least(similarity) * len(_FACTORS)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("ord")
+        sets, ords = [np.frombuffer(x.as_py(), np.uint32) for x in group["shingles"]], group["ord"].combine_chunks()
+        head = np.array(group["head"].to_pylist())
+        low, high = np.flatnonzero(head), np.flatnonzero(~head)
+        if not len(low):
+            return pa.table({"ord": ords.slice(0, 0), "low": ords.slice(0, 0)})
+        alone, size = not len(high), np.array([len(x) for x in sets])
+        both = overlaps([sets[k] for k in low], None if alone else [sets[k] for k in high])
+        high = low if alone else high
+        near = both >= similarity * (size[low][:, None] + size[high][None, :] - both)
+        x, y = np.nonzero(np.triu(near, 1) if alone else near)
+        return pa.table({"ord": ords.take(pa.array(high[y])), "low": ords.take(pa.array(low[x]))})
 
-    heads = nodes.select(F.col("ord").alias("low"), F.col("n").alias("m"), F.col("sign").alias("low_sign"))
-    sized = pairs.join(nodes.select("ord", "n", "sign"), "ord").join(heads, "low").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-    return _chosen(sized, "sign", "low_sign", likely)
+    return members.groupBy(*by).applyInArrow(run, "ord decimal(38,0), low decimal(38,0)")
 
 
 def _alike(likely: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
@@ -186,26 +236,51 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         return kept(rows.join(sizes, ["sure", "key"]), "near-left")
 
     left, path = met(by_key.withColumn("sure", F.lit(False)))
+
+    def with_links(others: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+        ends = links.select("ord", own.alias("key")).unionByName(links.select(F.col("low").alias("ord"), own.alias("key")))
+        found = met(others.select("ord", "key", "sure").unionByName(ends.withColumn("sure", F.lit(True))).distinct())
+        forget(spark, path)
+        return found
+
+    # Small keys turn into their verified links.
+    few = left.where(F.col("size") <= GROUP).select("ord", "key")
+    links = _alike(_in_buckets(few, nodes, similarity), docs, text_col, size, similarity)
+    left, path = with_links(left.where(F.col("size") > GROUP), links)
+    wide = left.where("not sure").select("ord").distinct()
+    some = sifted(docs.select("__ord", text_col), "__ord", sieve(wide, "ord")).where("__maybe")
+    sets, held = kept(_sets(some, text_col, size).join(wide, "ord", "left_semi").dropDuplicates(["ord"]), "near-sets")
     gone = nodes.select("ord").where("false")
+    # Only so many rows of a key leave a task: the limit by rank is applied before the shuffle, too.
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
     while not left.isEmpty():
-        few = left.where(~F.col("sure") & (F.col("size") <= GROUP)).select("ord", "key")
-        if not few.isEmpty():  # keys that are small, or have become so, turn into their verified links
-            links = _alike(_in_buckets(few, nodes, similarity), docs, text_col, size, similarity)
-            ends = links.select("ord", own.alias("key")).unionByName(links.select(F.col("low").alias("ord"), own.alias("key")))
-            others, old = left.where(F.col("sure") | (F.col("size") > GROUP)).select("ord", "key", "sure"), path
-            left, path = met(others.unionByName(ends.withColumn("sure", F.lit(True))))
+        unsure = not left.where("not sure").isEmpty()
+        front, front_path = kept(left.where("not sure").select("key", "ord").withColumn("rank", rank).where(F.col("rank") <= FRONT).select("key", "ord"), "near-front")
+        if unsure:
+            links, old = kept(_compared(front.join(sets, "ord").withColumn("head", F.lit(True)), ["key"], similarity).distinct(), "near-links")
+            left, path = with_links(left, links)
             forget(spark, old)
-        judged = left.join(left.groupBy("sure", "key").agg(F.min("ord").alias("low")), ["sure", "key"])
-        stays = judged.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("s")).where("s").select(F.col("ord").alias("low"))
-        pairs = judged.where("ord <> low").join(stays, "low", "left_semi").select("sure", "ord", "low").distinct()
-        hits = kept(pairs.where("sure").select("ord").distinct(), "near-hits")[0]
-        if not left.where("not sure").isEmpty():
-            unsure = pairs.where("not sure").select("ord", "low")
-            hits = hits.unionByName(_alike(_to_heads(unsure, nodes, similarity), docs, text_col, size, similarity).select("ord").distinct())
+        low = left.where("sure").groupBy("key").agg(F.min("ord").alias("low"))
+        sure = left.where("sure").select("key", "ord").join(low, "key")
+        first = sure.select("ord", (F.col("ord") == F.col("low")).alias("s"))
+        ahead = left.where("not sure").select("key", "ord").join(front.withColumn("s", F.lit(True)), ["key", "ord"], "left").select("ord", F.coalesce("s", F.lit(False)).alias("s"))
+        stays, stays_path = kept(first.unionByName(ahead).groupBy("ord").agg(F.bool_and("s").alias("s")).where("s").select("ord"), "near-stays")
+        hits, _ = kept(sure.where("ord <> low").join(stays.withColumnRenamed("ord", "low"), "low", "left_semi").select("ord").distinct(), "near-hits")
+        if unsure:
+            rows = left.where("not sure").select("key", "ord", F.ceil(F.col("size") / FRONT).cast("int").alias("parts"))
+            behind = rows.join(front, ["key", "ord"], "left_anti").join(hits, "ord", "left_anti")
+            behind = behind.select("key", "ord", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("head"))
+            heads = rows.where("parts > 1").join(stays, "ord", "left_semi")
+            heads = heads.select("key", "ord", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head"))
+            met_heads = _compared(behind.unionByName(heads).join(sets, "ord"), ["key", "part"], similarity)
+            more, _ = kept(met_heads.join(stays.withColumnRenamed("ord", "low"), "low", "left_semi").join(stays, "ord", "left_anti").select("ord").distinct(), "near-hits")
+            hits = hits.unionByName(more).distinct()
         gone = gone.unionByName(hits)
-        done = hits.unionByName(stays.select(F.col("low").alias("ord")))
+        done = hits.unionByName(stays)
         rest, old = left.join(done, "ord", "left_anti").select("ord", "key", "sure"), path
         left, path = met(rest)
-        forget(spark, old)
+        for used in (old, front_path, stays_path):
+            forget(spark, used)
+    forget(spark, held)
     staying = nodes.select(F.col("ord").alias("__ord")).join(gone.withColumnRenamed("ord", "__ord"), "__ord", "left_anti")
     return docs.join(staying, "__ord", "left_semi").dropDuplicates(["__ord"]).select(*[F.col(f"`{c}`") for c in columns])

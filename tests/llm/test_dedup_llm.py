@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from talkloom.llm import common, exact_dedup, line_dedup, simhash, substring_dedup
+from talkloom.llm import common, exact_dedup, line_dedup, near_dedup, simhash, substring_dedup
 
 WORDS = [f"w{k}" for k in range(200)]
 EXTRA = "doc_id long, text string, id string, fp string, line string, key string, n_words string"
@@ -294,6 +294,35 @@ def test_near_duplicates_of_the_pipeline_are_brute_force(spark, sf):
     assert 20 < len(want) < len(rows) - 20
 
 
+def test_overlaps_are_sizes_of_intersections(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_COLUMNS", 16)
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 90, n)).astype(np.uint32) for n in (0, 1, 7, 30, 60, 200)]
+    plain = lambda a, b: [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert near_dedup.overlaps(sets[:4], sets[2:]).tolist() == plain(sets[:4], sets[2:])
+    within = near_dedup.overlaps(sets)
+    assert np.triu(within, 1).tolist() == np.triu(plain(sets, sets), 1).tolist()
+    assert not near_dedup.overlaps([sets[0]], [sets[0]]).any()
+
+
+def test_large_keys_of_like_and_unlike_documents_are_brute_force(spark, monkeypatch):
+    """One text in 160 forms, edited more and less: keys far larger than a front, whose members are near some and far from others."""
+    monkeypatch.setattr(near_dedup, "GROUP", 3)
+    monkeypatch.setattr(near_dedup, "FRONT", 6)
+    draw = random.Random(31)
+    base, rows = prose(draw, 120).split(), []
+    for i in range(160):
+        text = list(draw.choice([base, base, rows[-1][1].split()]) if rows else base)
+        for _ in range(draw.choice([0, 1, 1, 2, 4])):
+            text[draw.randrange(120)] = f"edit{draw.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    draw.shuffle(rows)
+    got = near_dedup.keep(frame(spark, rows)).collect()
+    want = plain_near(rows)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == want
+    assert 12 < len(want) < 150
+
+
 def test_queries_return_their_columns(spark, sf):
     from talkloom.llm import queries
 
