@@ -18,6 +18,8 @@ from talkloom.sources.shared import cut
 
 PRIME = (1 << 61) - 1
 TOP = (1 << 32) - 1
+_BLOCK = 64  # values hashed together, which stay in a processor's cache
+_HELD = 4096  # rows of hashes gathered together
 
 
 def first_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -47,45 +49,73 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return np.where(x >= p, x - p, x)
 
 
-def minima(raw: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """For each hash the smallest ``((a raw + b) mod 2^61 - 1) mod 2^32``; all-top without values.
+def hashed(raw: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``((a raw + b) mod 2^61 - 1) mod 2^32`` of each value, a row, under each hash, a column.
 
     The 93-bit product is taken in halves of 32 bits, folded after every step.
     """
-    if not len(raw):
-        return np.full(n, TOP, dtype=np.int64)
     a, b = family(n, seed)
-    raw, out = raw.astype(np.uint64), np.full(n, TOP, dtype=np.uint64)
-    for at in range(0, len(raw), 4096):
-        part = raw[None, at : at + 4096]
-        high = _fold((a[:, None] >> np.uint64(32)) * part)
+    out = np.empty((len(raw), n), dtype=np.uint32)
+    for at in range(0, len(raw), _BLOCK):
+        part = raw[at : at + _BLOCK, None].astype(np.uint64)
+        high = _fold((a >> np.uint64(32)) * part)
         high = _fold(((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29)))
-        low = _fold((a[:, None] & np.uint64(TOP)) * part)
-        h = _fold(_fold(high + low) + b[:, None]) & np.uint64(TOP)
-        out = np.minimum(out, h.min(axis=1))
+        low = _fold((a & np.uint64(TOP)) * part)
+        out[at : at + _BLOCK] = _fold(_fold(high + low) + b) & np.uint64(TOP)
+    return out
+
+
+def minima(raw: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """For each hash the smallest of ``hashed``; all-top without values."""
+    out = np.full(n, TOP, dtype=np.uint32)
+    for at in range(0, len(raw), _HELD):
+        out = np.minimum(out, hashed(raw[at : at + _HELD], n, seed).min(axis=0))
     return out.astype(np.int64)
 
 
+class Signer:
+    """Signatures of texts; the hashes of up to ``held`` grams are remembered, so a gram is hashed once, not once a text."""
+
+    def __init__(self, permutations: int, k: int, seed: int, held: int = 1 << 17):
+        self.n, self.k, self.seed, self.held = permutations, k, seed, held
+        self.place: dict[str, int] = {}
+        self.table = np.empty((0, permutations), dtype=np.uint32)
+
+    def _places(self, grams: list[str]) -> np.ndarray:
+        """Rows of ``table`` for ``held`` grams at most, which are all there afterwards."""
+        new = [g for g in grams if g not in self.place]
+        if len(self.place) + len(new) > self.held:
+            self.place.clear()
+            new = grams
+        if new:
+            first, last = len(self.place), len(self.place) + len(new)
+            if last > len(self.table):
+                wider = np.empty((min(self.held, 2 * last), self.n), dtype=np.uint32)
+                wider[:first] = self.table[:first]
+                self.table = wider
+            raw = b"".join(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:4] for g in new)
+            self.table[first:last] = hashed(np.frombuffer(raw, dtype="<u4"), self.n, self.seed)
+            self.place.update(zip(new, range(first, last), strict=True))
+        return np.fromiter(map(self.place.__getitem__, grams), dtype=np.int64, count=len(grams))
+
+    def sign(self, text: str | None) -> np.ndarray:
+        low, out = (text or "").lower(), np.full(self.n, TOP, dtype=np.uint32)
+        grams = list({low[i : i + self.k] for i in range(len(low) - self.k + 1)})
+        for at in range(0, len(grams), self.held):
+            places = self._places(grams[at : at + self.held])
+            for x in range(0, len(places), _HELD):
+                out = np.minimum(out, self.table[places[x : x + _HELD]].min(axis=0))
+        return out.astype(np.int64)
+
+
 def minhash(text: Column, permutations: int = 128, k: int = 4, seed: int = 42) -> Column:
     """MinHash signature over the set of lower-cased character ``k``-grams."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, int] = {}
+        signer = Signer(permutations, k, seed)
         for part in parts:
-            out = []
-            for t in part:
-                low = (t or "").lower()
-                if len(memo) > 1 << 20:
-                    memo.clear()
-                raw = []
-                for gram in {low[i : i + k] for i in range(len(low) - k + 1)}:
-                    h = memo.get(gram)
-                    if h is None:
-                        h = memo[gram] = int.from_bytes(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[:4], "little")
-                    raw.append(h)
-                out.append(minima(np.array(raw, dtype=np.uint64), permutations, seed))
-            yield pd.Series(out)
+            yield pd.Series([signer.sign(t) for t in part], dtype="object")
 
     return sign(text)
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -20,6 +21,23 @@ def test_minima_are_the_plain_formula():
     assert dedup.minima(np.array(raw, dtype=np.uint64), 16, 42).tolist() == want
 
 
+@pytest.mark.parametrize("held", [3, 50, 1 << 17])
+def test_remembered_grams_give_the_plain_signature(held, monkeypatch):
+    """A gram of many texts is hashed once, also where the memory holds fewer grams than a text has."""
+    draw, calls, plain = random.Random(5), [], dedup.hashed
+    monkeypatch.setattr(dedup, "hashed", lambda raw, n, seed: calls.append(len(raw)) or plain(raw, n, seed))
+    texts = ["".join(draw.choice("abÉß\U0001f600") for _ in range(draw.randrange(90))) for _ in range(60)] + [None, "", "abc", "ABCD", "abcd"]
+    signer = dedup.Signer(16, 4, 42, held)
+    got = [signer.sign(t).tolist() for t in texts]
+    hashed_grams = sum(calls)
+    for t, sig in zip(texts, got, strict=True):
+        low = (t or "").lower()
+        raw = [int.from_bytes(hashlib.md5(low[i : i + 4].encode()).digest()[:4], "little") for i in range(len(low) - 3)]
+        assert sig == dedup.minima(np.array(raw, dtype=np.uint64), 16, 42).tolist()
+    if held == 1 << 17:
+        assert hashed_grams == len({t.lower()[i : i + 4] for t in texts if t for i in range(len(t.lower()) - 3)})
+
+
 def sequential(rows):
     kept, seen = [], set()
     for ord_, keys in sorted(rows):
