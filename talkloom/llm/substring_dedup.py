@@ -7,9 +7,13 @@ only nodes of at least the passage length matter, about 2 n / length of them (De
 2021).  Passages of two documents with Jaccard similarity J share a minimum under a hash with
 probability J, so with several independent hashes few are missed.
 
-Windows of equal minimum meet in a join against one of them, the earliest in the corpus, so a
-passage in thousands of documents costs one row each.  The intervals that a document shares
-with an earlier one are merged over all hashes, and the words of both are compared.
+Windows that share a minimum in up to ``GROUP`` places all meet.  Of a key with more, windows with
+the same shingles around the minimum meet the earliest of them, so a passage in thousands of
+documents costs one row each; the earliest of each kind are then compared among themselves by
+these shingles (``meetings``), so an earlier document that holds the minimum but not the passage
+hides no later one.  A passage reaching farther from the minimum than these shingles do is one
+that has a minimum of its own there.  The intervals that a document shares with an earlier one
+are merged over all hashes, and the words of both are compared.
 """
 
 from __future__ import annotations
@@ -22,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sieve, sifted
+from pyspark.sql.window import Window
+
+from .common import cut, kept, sieve, sifted
 
 SHINGLE = 5
 MIN_WORDS = 50
 SIMILARITY = 0.8
 HASHES = 3
+#: Windows of a key that all meet one another.
+GROUP = 16
+#: Windows of a larger key, of different kinds, that meet one another in a task.
+BLOCK = 1024
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -98,16 +108,17 @@ def windows(g: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def window_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, least: int) -> DataFrame:
-    """``key, id, c, l, r`` of every compact window under every hash."""
+    """``key, id, c, l, r, near`` of every compact window under every hash; ``near`` tells the shingles around its minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = [mix(np.array([k + 1], np.uint64) * _ODD)[0] for k in range(hashes)]
         for batch in batches:
-            key, id_, l, c, r = [], [], [], [], []
+            key, id_, l, c, r, near = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(word_hashes(text.as_py()))
                 if len(s) < least:
                     continue
+                upto = np.append(np.uint64(0), np.cumsum(mix(s + _ODD)))
                 for seed in seeds:
                     g = mix(s ^ seed)
                     lo, at, hi = windows(g, least)
@@ -116,12 +127,113 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, least:
                     l.append(lo)
                     c.append(at)
                     r.append(hi)
+                    a, b = around(at, lo, hi, least)
+                    near.append(mix(upto[b + 1] - upto[a] + mix((at - a << 32 | b - at).astype(np.uint64))))
             if key:
-                columns = [np.concatenate(key).view(np.int64), np.concatenate(id_), *(np.concatenate(x).astype(np.int32) for x in (c, l, r))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "c", "l", "r"])
+                columns = [np.concatenate(key).view(np.int64), np.concatenate(id_), *(np.concatenate(x).astype(np.int32) for x in (c, l, r)), np.concatenate(near).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "c", "l", "r", "near"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "key bigint, id bigint, c int, l int, r int")
+    return rows.mapInArrow(run, "key bigint, id bigint, c int, l int, r int, near bigint")
+
+
+def around(c: np.ndarray, l: np.ndarray, r: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last shingle of a window within ``least`` of its minimum: what lies beyond is in a passage without it."""
+    return np.maximum(l, c - least + 1), np.minimum(r, c + least - 1)
+
+
+def contexts(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """``rows`` (``key, id, c, l, r, part, parts``) with ``near``: 32 bits of each shingle around the minimum; ``texts``: id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, found, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                s, own = (shingles(word_hashes(text.as_py())) >> np.uint64(32)).astype(np.uint32), found.as_py()
+                for w in own:
+                    a, b = around(w["c"], w["l"], w["r"], least)
+                    out.append(w | {"id": doc, "near": s[a : b + 1].tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    kind = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("part", pa.int32()), ("parts", pa.int32()), ("near", pa.binary())])
+    packed = rows.groupBy("id").agg(F.collect_list(F.struct("key", "c", "l", "r", "part", "parts")).alias("found"))
+    some = sifted(texts, "id", sieve(packed.select("id"), "id")).where("__maybe").select("id", "text")
+    return packed.join(some, "id").select("id", "found", "text").mapInArrow(run, "key bigint, id bigint, c int, l int, r int, part int, parts int, near binary")
+
+
+def meetings(ids: list[int], near: list[bytes], seeks: list[bool], holds: list[bool], least: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (later, earlier) of the windows of one key, in order of ids, whose passages may match.
+
+    Only shingles that two windows have count.  A window meets, of the leads with half the shingles of a passage in common, the one
+    with most and each that adds to what it has in common with those before.  It is a lead itself unless these have all of it and the
+    first so much that whatever has ``similarity`` of a passage in common with the window has half with that lead.
+    """
+    own = [np.unique(np.frombuffer(x, np.uint32), return_counts=True) for x in near]
+    values, of, n = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True, return_counts=True)
+    place = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[of]
+    ends = np.cumsum([len(x) for x, _ in own])[:-1]
+    half, spare = least / 2, (similarity - 0.5) * least
+    has = np.zeros((len(own), int((n > 1).sum())), np.uint8)
+    leads: list[int] = []
+    of_lead = np.zeros(len(own), np.int64)
+    out: list[tuple[int, int]] = []
+    for k, (at, (_, weights)) in enumerate(zip(np.split(place, ends), own, strict=True)):
+        at, weights = at[at >= 0], weights[at >= 0].astype(np.float32)
+        met, first, left = [], 0.0, weights.copy()
+        if leads and len(at):
+            common = has[: len(leads)][:, at].astype(np.float32)
+            some = np.flatnonzero((common @ weights >= half) & (of_lead[: len(leads)] != ids[k]))
+            common = common[some]
+            while len(some) and (gain := common @ left).max() > 0:
+                best = int(gain.argmax())
+                first = first or float(gain[best])
+                met.append(leads[some[best]])
+                left[common[best] > 0] = 0
+        if seeks[k]:
+            out += [(k, x) for x in met]
+        if holds[k] and len(at) and (left.any() or weights.sum() - first > spare):
+            has[len(leads), at] = 1
+            of_lead[len(leads)] = ids[k]
+            leads.append(k)
+    return out
+
+
+def _crowded(rows: DataFrame, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """``id, lead, c, lc, l, r`` of windows (``key, id, c, l, r``) of large keys that may match."""
+    spot = Window.partitionBy("key").orderBy("id", "c")
+    part = ((F.row_number().over(spot) - 1) / BLOCK).cast("int")
+    parts = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int")
+    full = contexts(rows.select("key", "id", "c", "l", "r", part.alias("part"), parts.alias("parts")), texts, least)
+    # Blocks of a key meet in pairs (a, b), a <= b: those of b look for holders in a.
+    dealt = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "id", "c", "l", "r", "near")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("c", "ascending")])
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        ids, own = table["id"].to_pylist(), table["part"].to_pylist()
+        found = meetings(ids, table["near"].to_pylist(), [x == b for x in own], [x == a for x in own], least, similarity)
+        later, earlier = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        x, y = table.take(later), table.take(earlier)
+        return pa.table([x["id"], y["id"], x["c"], y["c"], x["l"], x["r"]], names=["id", "lead", "c", "lc", "l", "r"])
+
+    return dealt.groupBy("key", "a", "b").applyInArrow(run, "id bigint, lead bigint, c int, lc int, l int, r int")
+
+
+def meeting(found: DataFrame, texts: DataFrame, least: int, similarity: float, group: int = GROUP) -> DataFrame:
+    """``id, lead, c, lc, l, r``: windows of a document and an earlier one that share a minimum; ``texts``: id, text."""
+    shared = cut(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    # Most windows are alone with their minimum: a bitmap of the others' keys holds them back from the shuffle.
+    some = sifted(found, "key", sieve(shared, "key")).where("__maybe").drop("__maybe")
+    some = kept(some.join(shared, "key"), "passages")[0]
+    few = some.where(F.col("n") <= group).groupBy("key").agg(F.collect_list(F.struct("id", "c", "l", "r")).alias("all"))
+    few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y["id"] < F.col("x.id"))).alias("y"))
+    few = few.select("x.id", F.col("y.id").alias("lead"), "x.c", F.col("y.c").alias("lc"), "x.l", "x.r")
+    many = some.where(F.col("n") > group)
+    kinds = cut(many.groupBy("key", "near").agg(F.min(F.struct("id", "c", "l", "r")).alias("first"), F.count("*").alias("size")))
+    same = many.join(kinds.where("size > 1").select("key", "near", "first"), ["key", "near"]).where("id > first.id")
+    same = same.select("id", F.col("first.id").alias("lead"), "c", F.col("first.c").alias("lc"), "l", "r")
+    firsts = kinds.select("key", "first.*")
+    return few.unionByName(same).unionByName(_crowded(firsts, texts, least, similarity))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,16 +333,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("n_words", "n_removed", "spans")
     least = min_words - SHINGLE + 1
-    found = window_rows(docs, id_col, text_col, hashes, least)
-    first = ((F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(str(1 << 32)).cast("decimal(10,0)") + F.col("c")).cast("decimal(38,0)")
-    leads = found.select("key", "id", first.alias("at")).groupBy("key").agg(F.min("at").alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    base = F.lit(str(1 << 32)).cast("decimal(38,0)")
-    leads = cut(leads.select("key", F.col("lo").alias("lead"), (F.col("at") % base).cast("int").alias("lc")))
-    # Most windows are alone with their minimum: a bitmap of the others' keys holds them back from the shuffle.
-    some = sifted(found, "key", sieve(leads, "key")).where("__maybe").drop("__maybe")
-    shared = some.join(leads, "key").where("id > lead")
-    pairs = cut(shared.groupBy("id", "lead").agg(F.collect_list(F.struct("c", "lc", "l", "r")).alias("spans")))
+    found = kept(window_rows(docs, id_col, text_col, hashes, least), "windows")[0]
     texts = docs.select(F.col(id_col).cast("bigint").alias("lead"), F.col(text_col).alias("text"))
+    shared = meeting(found, texts.withColumnRenamed("lead", "id"), least, similarity)
+    pairs = cut(shared.groupBy("id", "lead").agg(F.collect_list(F.struct("c", "lc", "l", "r")).alias("spans")))
     texts = sifted(texts, "lead", sieve(pairs.select("lead").distinct(), "lead")).where("__maybe").drop("__maybe")
     parts = snippets(pairs, texts).groupBy("id").agg(F.collect_list("words").alias("others"))
 

@@ -257,6 +257,29 @@ def test_recall_of_repeated_passages_against_all_pairs(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
+@pytest.mark.parametrize("parts", [6, 90])
+def test_earlier_holders_of_a_part_hide_no_passage(spark, parts):
+    """Documents with 35 words of a passage, too few to match, stand before two that have all of it."""
+    draw = random.Random(parts)
+    fresh = lambda n: [f"u{draw.randrange(10**9)}" for _ in range(n)]
+    passages, rows = [fresh(60) for _ in range(12)], []
+    for p in passages:
+        for k in range(parts):
+            at = (k * 25 // (parts - 1)) if k else 0
+            rows.append((len(rows), " ".join(fresh(50) + p[at : at + 35] + fresh(50))))
+    for p in passages + passages:
+        rows.append((len(rows), " ".join(fresh(20) + p + fresh(20))))
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.dedup_passages(frame(spark, rows)).collect()}
+    assert {k for k, x in got.items() if x} == set(range(len(rows) - 12, len(rows)))
+    assert all(got[k] == [[20, 79]] for k in range(len(rows) - 12, len(rows)))
+
+
+@pytest.mark.parametrize("block", [7])
+def test_blocks_of_a_large_key_meet(spark, block, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    test_earlier_holders_of_a_part_hide_no_passage(spark, 30)
+
+
 def plain_near(rows, similarity=0.8):
     def five(t):
         w = (t or "").lower().split()
