@@ -7,11 +7,10 @@ only nodes of at least the passage length matter, about 2 n / length of them (De
 2021).  Passages of two documents with Jaccard similarity J share a minimum under a hash with
 probability J, so with several independent hashes few are missed.
 
-Windows that share a minimum in up to ``GROUP`` places all meet.  Of a key with more, windows with
-the same shingles around the minimum meet the earliest of them, so a passage in thousands of
-documents costs one row each; the earliest of each kind are then compared among themselves by
-these shingles (``meetings``), so an earlier document that holds the minimum but not the passage
-hides no later one.  A passage reaching farther from the minimum than these shingles do is one
+Windows with the same minimum and the same shingles around it, a kind, meet the earliest of them,
+so a passage in thousands of documents costs one row each.  The earliest of each kind all meet if
+the minimum has up to ``GROUP`` places, else they are compared by these shingles (``meetings``), so
+an earlier document that holds the minimum but not the passage hides no later one.  A passage reaching farther from the minimum than these shingles do is one
 that has a minimum of its own there.  The intervals that a document shares with an earlier one
 are merged over all hashes, and the words of both are compared.
 """
@@ -225,14 +224,13 @@ def meeting(found: DataFrame, texts: DataFrame, least: int, similarity: float, g
     # Most windows are alone with their minimum: a bitmap of the others' keys holds them back from the shuffle.
     some = sifted(found, "key", sieve(shared, "key")).where("__maybe").drop("__maybe")
     some = kept(some.join(shared, "key"), "passages")[0]
-    few = some.where(F.col("n") <= group).groupBy("key").agg(F.collect_list(F.struct("id", "c", "l", "r")).alias("all"))
+    kinds = cut(some.groupBy("key", "near").agg(F.min(F.struct("id", "c", "l", "r")).alias("first"), F.first("n").alias("n")))
+    same = some.drop("n").join(kinds.select("key", "near", "first"), ["key", "near"]).where("id > first.id")
+    same = same.select("id", F.col("first.id").alias("lead"), "c", F.col("first.c").alias("lc"), "l", "r")
+    few = kinds.where(F.col("n") <= group).groupBy("key").agg(F.collect_list("first").alias("all")).where("size(all) > 1")
     few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y["id"] < F.col("x.id"))).alias("y"))
     few = few.select("x.id", F.col("y.id").alias("lead"), "x.c", F.col("y.c").alias("lc"), "x.l", "x.r")
-    many = some.where(F.col("n") > group)
-    kinds = cut(many.groupBy("key", "near").agg(F.min(F.struct("id", "c", "l", "r")).alias("first"), F.count("*").alias("size")))
-    same = many.join(kinds.where("size > 1").select("key", "near", "first"), ["key", "near"]).where("id > first.id")
-    same = same.select("id", F.col("first.id").alias("lead"), "c", F.col("first.c").alias("lc"), "l", "r")
-    firsts = kinds.select("key", "first.*")
+    firsts = kinds.where(F.col("n") > group).select("key", "first.*")
     return few.unionByName(same).unionByName(_crowded(firsts, texts, least, similarity))
 
 
