@@ -227,6 +227,21 @@ def test_pieces_are_the_librarys(spark, sf):
     assert pieces.encode(docs.where("false"), model).count() == 0 and pieces.digests(docs.where("false"), model).count() == 0
 
 
+def test_pieces_query_decodes_whole_texts(spark, tmp_path):
+    """The digest of the decoded text is that of the library's decoding of the ids; a mark in a text is decoded as a space."""
+    import sentencepiece
+
+    model = pieces.Pieces.load()
+    m = sentencepiece.SentencePieceProcessor(model_file=model.path)
+    texts = {1: "one  two\n\nthree", 2: "a▁b", 3: None, 4: "日本 ½ " + "x" * 100, 5: "▁", 6: " é"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_pieces(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if not r["round_trip"]} == {2, 5} == {k for k, t in texts.items() if m.decode(m.encode(t or "")) != (t or "")}
+    decoded = [(k, p, w) for k, t in texts.items() for p, w in enumerate(pieces.words(m.decode(m.encode(t or "")).replace("a b", "a▁b")))]
+    want = spark.createDataFrame(decoded, "id long, pos long, word string").groupBy("id").agg(F.bit_xor(F.xxhash64(F.xxhash64("word"), "pos")).alias("h"))
+    assert {k: r["text_digest"] for k, r in got.items()} == {3: 0} | {r["id"]: r["h"] for r in want.collect()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab .\n▁é0日", max_size=20))
 def test_tokens_are_made_of_words(text):
