@@ -131,33 +131,45 @@ def greedy_keep(rows: DataFrame, keys: str = "keys", order: str = "ord") -> Data
     ``rows`` has distinct ``order`` and arrays of ``keys``.  In a round a row stays if it comes first
     among the undecided of all its keys, and every row that shares a key with one that stays goes;
     this gives the sequential answer.  No pair is formed: a key is an aggregate, and rows with
-    equal keys are one row, for the later ones always go.
+    equal keys are one row, for the later ones always go.  Rows that share no key stay before the
+    first round, so the rounds read those alone that do.  Rows of a null ``order`` are left out.
     """
-    equal = rows.select(F.col(order).alias("ord"), F.array_sort(F.array_distinct(keys)).alias("keys"))
-    left = cut(equal.groupBy("keys").agg(F.min("ord").alias("ord")))
-    kept = left.select("ord").where("false")
+    equal = rows.where(F.col(order).isNotNull()).select(F.col(order).alias("ord"), F.array_sort(F.array_distinct(keys)).alias("keys"))
+    first = cut(equal.groupBy("keys").agg(F.min("ord").alias("ord")))
+    by_key = first.select("ord", F.explode("keys").alias("key"))
+    shared = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    left = cut(by_key.join(shared, "key"))
+    kept = cut(first.select("ord").join(left.select("ord").distinct(), "ord", "left_anti"))
     while not left.isEmpty():
-        by_key = left.select("ord", F.explode("keys").alias("key"))
-        low = by_key.groupBy("key").agg(F.min("ord").alias("low"))
-        judged = by_key.join(low, "key").groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("stays"))
+        low = left.groupBy("key").agg(F.min("ord").alias("low"))
+        judged = left.join(low, "key").groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("stays"))
         stays = cut(judged.where("stays").select("ord"))
         kept = kept.unionByName(stays)
-        hit = by_key.join(stays, "ord", "left_semi").select("key").distinct()
-        gone = by_key.join(hit, "key", "left_semi").select("ord").distinct()
+        hit = left.join(stays, "ord", "left_semi").select("key").distinct()
+        gone = left.join(hit, "key", "left_semi").select("ord").distinct()
         left = cut(left.join(gone, "ord", "left_anti"))
     return kept.withColumnRenamed("ord", order)
 
 
+def near_dedup_ids(rows: DataFrame, order: str, text: str, threshold: float = 0.8, permutations: int = 128) -> DataFrame:
+    """``order`` of the rows that ``near_dedup`` keeps; ``rows`` are read once, for their signatures."""
+    b, r = bands(permutations, threshold)
+    keys = F.when(_filled(text), band_keys(minhash(F.col(text), permutations), b, r))
+    signed = cut(rows.select(order, keys.alias("keys")))
+    return signed.where("keys is null").select(order).unionByName(greedy_keep(signed.where("keys is not null"), "keys", order))
+
+
+def _filled(text: str) -> Column:
+    return F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
+
+
 def near_dedup(rows: DataFrame, order: str, text: str, threshold: float = 0.8, permutations: int = 128) -> DataFrame:
     """Rows without those whose text collides in a band with an earlier kept one; blank texts always stay.
 
     Texts shorter than a shingle have one signature, so the first of them stays.
     """
-    b, r = bands(permutations, threshold)
-    filled = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
-    signed = rows.where(filled).select(order, band_keys(minhash(F.col(text), permutations), b, r).alias("keys"))
-    kept = greedy_keep(signed, "keys", order)
-    return rows.where(~filled).unionByName(rows.where(filled).join(kept, order, "left_semi"))
+    kept = near_dedup_ids(rows.where(_filled(text)), order, text, threshold, permutations)
+    return rows.where(~_filled(text)).unionByName(rows.where(_filled(text)).join(kept, order, "left_semi"))
 
 
 def novel(rows: DataFrame, order: str, tokens: str, limit: float, last: int) -> DataFrame:

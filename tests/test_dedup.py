@@ -78,3 +78,21 @@ def test_empty(spark):
 def test_first_by_keeps_ties(spark, n):
     df = spark.createDataFrame([("a", 1)] * n + [("a", 2)], "k string, o long")
     assert dedup.first_by(df, ["k"], "o").count() == n
+
+
+def test_rows_that_share_nothing_take_part_in_no_round(spark, monkeypatch):
+    """The rounds read those rows alone that share a key; a row without keys stays, one of a null order is left out."""
+    sizes, plain = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: sizes.append((df.columns, (out := plain(df)).count())) or out)
+    rows = [(k, [1000 + k, 2000 + k]) for k in range(50)] + [(60, [7, 1]), (61, [7, 2]), (62, []), (None, [7])]
+    df = spark.createDataFrame(rows, "ord long, keys array<long>")
+    assert sorted(r["ord"] for r in dedup.greedy_keep(df).collect()) == [*range(50), 60, 62]
+    assert max(n for columns, n in sizes if "key" in columns) == 2
+
+
+def test_conversations_are_read_once(spark, sf):
+    from talkloom.plans import load, registry
+
+    load()
+    plan = registry.QUERIES["u3_conversations"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "text" not in plan
