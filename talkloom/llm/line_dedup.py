@@ -1,20 +1,22 @@
 """Line deduplication by a segment-partition edit join.
 
 A line of a document goes when an equal line stands earlier in the corpus, or when it lies within
-an edit of the line that stays of its class.  Two lines within ``EDITS`` edits share one of ``EDITS + 1`` segments, here halves: the
-line of length ``ell`` indexes its prefix and its suffix half, a line of length ``ell + 1`` also
-probes the halves that belong to ``ell``.  Lines that meet in a key are verified with a banded
+``edits`` edits of the line that stays of its class.  Two lines that near share one of ``edits + 1`` segments: the
+line of length ``ell`` indexes its own, a line of up to ``edits`` characters more also
+probes the segments that belong to ``ell``, moved as far as edits before and after them can.  Lines that meet in a key are verified with a banded
 bit-parallel edit distance.
 
 A key that very many lines share is never expanded into pairs.  Its lines agree outside one
 region, and a single edit lies in the left or the right half of that region, so they move on to
 two narrower keys, until a key is small or its region is a single character.  Lines that differ
-anywhere else fall apart on the way, so the rows of each step shrink with the region.
+anywhere else fall apart on the way, so the rows of each step shrink with the region.  More edits lie
+in as many regions, of whose halves so many hold all edits (``_narrowed``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,16 +80,20 @@ def banded(a: str, b: str, limit: int = EDITS) -> int:
     return min(score, limit + 1)
 
 
-def _half(ell: Column, side: str, line: Column) -> Column:
-    h = F.floor(ell / 2).cast("int")
-    part = F.substring(line, F.lit(1), h) if side == "p" else F.right(line, (ell - h).cast("int"))
-    return F.xxhash64(ell, F.lit(side), part)
+def _segment(ell: Column, i: int, moved: int, line: Column, edits: int) -> Column:
+    """Hash of what ``line`` has, ``moved`` characters on, in place of segment ``i`` of a line of ``ell`` characters."""
+    at, end = (F.floor(ell * k / (edits + 1)).cast("int") for k in (i, i + 1))
+    return F.xxhash64(ell, F.lit(i), F.substring(line, at + 1 + moved, end - at))
 
 
-def _keys(line: Column) -> Column:
-    """Hashes of the halves a line indexes, and of those it probes as the longer of a pair."""
-    own = F.length(line)
-    return F.array(*[_half(ell, side, line) for ell in (own, own - 1) for side in "ps"])
+def _keys(line: Column, edits: int) -> Column:
+    """Hashes of the segments a line indexes, and of those it probes as the longer of a pair.
+
+    Of the segments that two lines share one has no more edits before it than its number, and no more after it than segments follow.
+    """
+    n, own = range(edits + 1), F.length(line)
+    found = [(i, more, d) for i in n for more in n for d in range(-i, i + 1) if abs(more - d) <= edits - i]
+    return F.array(*[_segment(own - more, i, d, line, edits) for i, more, d in found])
 
 
 def _children(line: Column, ell: Column, p: Column, q: Column) -> Column:
@@ -101,6 +107,58 @@ def _children(line: Column, ell: Column, p: Column, q: Column) -> Column:
     return F.array(child(p + m, q), child(p, q + (ell - p - q - m)))
 
 
+def _narrowed(front: DataFrame, edits: int) -> DataFrame:
+    """``lid, line, ell, bounds, key, wide`` of the narrower regions of ``front`` (``lid, line, ell, bounds``).
+
+    ``bounds``: first and end of each of ``edits`` regions of a line of ``ell`` characters that hold all edits between it and ``line``.
+    ``key`` tells what ``line`` has outside of the regions, moved by the edits in those before; ``wide`` if one is over a character.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out: list[tuple] = []
+            for lid, line, ell, bounds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = len(line) - ell
+                halves = [h for a, b in zip(bounds[::2], bounds[1::2]) for h in ((a, (a + b) // 2), ((a + b) // 2, b))]
+                for chosen in combinations(halves, edits):
+                    inner = [x for h in chosen for x in h]
+                    runs = list(zip([0, *inner[1::2]], [*inner[::2], ell]))
+                    between = [range(-edits, edits + 1) if a < b else (None,) for a, b in runs[1:-1]]
+                    for moved in product(*between):
+                        path = [0, *(d for d in moved if d is not None), more]
+                        parts = [(a + d, b + d) for (a, b), d in zip(runs, [0, *(d or 0 for d in moved), more])]
+                        if sum(abs(x - y) for x, y in zip(path, path[1:])) > edits or any(a < 0 or b > len(line) for a, b in parts):
+                            continue
+                        outside = repr((ell, inner, [line[a:b] for a, b in parts])).encode("utf-8", "surrogatepass")
+                        key = xxh64_intdigest(outside)
+                        out.append((lid, line, ell, inner, key - (1 << 64) if key >> 63 else key, max(b - a for a, b in chosen) > 1))
+            columns = list(zip(*out)) or [()] * len(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    kind = pa.schema([("lid", pa.binary()), ("line", pa.string()), ("ell", pa.int32()), ("bounds", pa.list_(pa.int32())), ("key", pa.int64()), ("wide", pa.bool_())])
+    return front.select("lid", "line", "ell", "bounds").mapInArrow(run, "lid binary, line string, ell int, bounds array<int>, key bigint, wide boolean")
+
+
+def _crowded(hot: DataFrame, edits: int) -> DataFrame:
+    """Links of ``hot`` lines (``lid, line``) within several edits, by ever narrower regions."""
+    ell = F.explode(F.sequence(F.length("line") - edits, F.length("line"))).alias("ell")
+    front = hot.select("lid", "line", ell)
+    front = front.withColumn("bounds", F.array(*[F.floor(F.col("ell") * k / edits).cast("int") for x in range(edits) for k in (x, x + 1)]))
+    found = None
+    while True:
+        step = _narrowed(front, edits)
+        sizes = step.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        step = cut(step.join(sizes.select("key", "size"), "key"))
+        last = (F.col("size") <= GROUP) | ~F.col("wide")
+        links = _verified(step.where(last).select("key", "lid", "line"), edits)
+        found = links if found is None else found.unionByName(links)
+        front = step.where(~last).dropDuplicates(["lid", "ell", "bounds"])
+        if front.isEmpty():
+            return found
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``id, version, pos, line`` of every line of ``least`` characters or more.
 
@@ -115,8 +173,8 @@ def _line_id(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def near_lines(lines: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` that connect the ids of distinct lines within an edit, and ``lid, line`` of all of these.
+def near_lines(lines: DataFrame, texts: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` that connect the ids of distinct lines within ``edits``, and ``lid, line`` of all of these.
 
     ``lines``: distinct ``lid`` with ``keys``.  ``texts``: ``lid, line``, repeats allowed; only lines
     that meet another in a key are fetched.
@@ -128,9 +186,11 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     # Most lines meet no other: a bitmap of those that do holds the rest back from the shuffle.
     some = sifted(texts, "lid", sieve(wanted, "lid")).where("__maybe").select("lid", "line")
     own = cut(some.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")))
-    found = _verified(met.where(F.col("size") <= GROUP).select("key", "lid").join(own, "lid"))
+    found = _verified(met.where(F.col("size") <= GROUP).select("key", "lid").join(own, "lid"), edits)
     # Large groups: all that the lines of such a key can be is told by their lengths.
     hot = met.where(F.col("size") > GROUP).select("lid").distinct().join(own, "lid")
+    if edits > 1:
+        return found.unionByName(_crowded(hot, edits)).distinct(), own
     root = [F.struct(ell.cast("int").alias("ell"), F.lit(0).alias("p"), F.lit(0).alias("q")) for ell in (F.length("line"), F.length("line") - 1)]
     front = hot.select("lid", "line", F.explode(F.array(*root)).alias("r")).select("lid", "line", "r.*")
     while True:
@@ -138,21 +198,21 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
         sizes = step.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         step = cut(step.join(sizes, "key"))
         last = (F.col("size") <= GROUP) | (F.col("ell") - F.col("p") - F.col("q") <= 1)
-        found = found.unionByName(_verified(step.where(last).select("key", "lid", "line")))
+        found = found.unionByName(_verified(step.where(last).select("key", "lid", "line"), edits))
         front = step.where(~last).drop("size", "key")
         if front.isEmpty():
             return found.distinct(), own
 
 
-def followers(classed: DataFrame, own: DataFrame) -> DataFrame:
-    """``lid, stays`` of the lines within an edit of the first line of their class, which is at ``stays``.
+def followers(classed: DataFrame, own: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``lid, stays`` of the lines within ``edits`` of the first line of their class, which is at ``stays``.
 
-    ``classed``: ``lid, label, at``.  Chains make classes wider than an edit; what is farther from the first line is not here.
+    ``classed``: ``lid, label, at``.  Chains make classes wider than that; what is farther from the first line is not here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = pa.array([banded(a.as_py(), b.as_py()) <= EDITS for a, b in zip(batch.column(1), batch.column(2), strict=True)], pa.bool_())
+            near = pa.array([banded(a.as_py(), b.as_py(), edits) <= edits for a, b in zip(batch.column(1), batch.column(2), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near)], names=["lid"])
 
     head = classed.groupBy("label").agg(F.min(F.struct("at", "lid")).alias("h")).select("label", F.col("h.lid").alias("lid"))
@@ -165,7 +225,7 @@ def followers(classed: DataFrame, own: DataFrame) -> DataFrame:
     return near.join(classed.select("lid", "label"), "lid").join(first, "label").select("lid", "stays")
 
 
-def _verified(members: DataFrame) -> DataFrame:
+def _verified(members: DataFrame, edits: int) -> DataFrame:
     """Links within each key; ``members``: ``key, lid, line``.  Groups here are small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +241,7 @@ def _verified(members: DataFrame) -> DataFrame:
 
                 for k, x in enumerate(group):
                     for y in group[:k]:
-                        if top(x["lid"]) != top(y["lid"]) and banded(x["line"], y["line"]) <= EDITS:
+                        if top(x["lid"]) != top(y["lid"]) and banded(x["line"], y["line"], edits) <= edits:
                             left.append(x["lid"])
                             right.append(y["lid"])
                             head[top(x["lid"])] = top(y["lid"])
@@ -191,26 +251,28 @@ def _verified(members: DataFrame) -> DataFrame:
     return groups.where("size(group) > 1").select("group").mapInArrow(run, "a binary, b binary")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, near: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, near: int = 40, edits: int = EDITS) -> DataFrame:
     """``docs`` with ``text_col`` cleaned, and ``n_lines``, ``n_removed`` added.
 
     Lines of ``least`` characters (white space runs count as one) or more take part, those of ``near`` or more also by edit
-    distance; shorter ones always stay.  Lines within an edit form classes, through chains too; the line of a
-    class with the smallest id, then the first in its text, stays.  Of the others those within an edit of it go; those farther
+    distance; shorter ones always stay.  Lines within ``edits`` edits form classes, through chains too; the line of a
+    class with the smallest id, then the first in its text, stays.  Of the others those within ``edits`` of it go; those farther
     away are lines of their own, of which the first occurrence stays.  Null ids come first.  Rows with one id and one text are cleaned alike.  A null text stays null and has
     no lines; empty input gives no rows; other columns pass through, but those with the new names are replaced.
     """
+    if not 0 < edits <= near // 4:
+        raise ValueError("edits must be one or more, and a quarter of the characters of the lines they apply to at most")
     docs = docs.drop("n_lines", "n_removed")
     seen = occurrences(docs, id_col, text_col, least).withColumn("lid", _line_id(F.col("line")))
     place = F.struct("id", "version", "pos")
     lines = cut(
-        seen.select("lid", place.alias("at"), F.when(F.length("line") >= near, _keys(F.col("line"))).alias("keys"))
+        seen.select("lid", place.alias("at"), F.when(F.length("line") >= near, _keys(F.col("line"), edits)).alias("keys"))
         .groupBy("lid")
         .agg(F.min("at").alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     )
-    links, own = near_lines(lines.where("keys is not null").select("lid", "keys"), seen.select("lid", "line"))
+    links, own = near_lines(lines.where("keys is not null").select("lid", "keys"), seen.select("lid", "line"), edits)
     label = components(links, "a", "b").withColumnRenamed("node", "lid")
-    moved = followers(cut(lines.join(label, "lid").select("lid", "label", "at")), own)
+    moved = followers(cut(lines.join(label, "lid").select("lid", "label", "at")), own, edits)
     # A line that occurs once, and follows none, needs no look at its occurrences.
     owner = lines.join(moved, "lid", "left").where("n > 1 or stays is not null").select("lid", "n", F.coalesce("stays", "at").alias("stays"))
     owner = cut(owner)

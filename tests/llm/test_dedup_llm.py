@@ -171,6 +171,32 @@ def test_line_dedup_is_brute_force(spark):
     assert got == plain_lines(rows)
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_lines_within_several_edits_are_brute_force(spark, edits):
+    """Lines apart, and a key that far more of them share than a group may hold."""
+    draw = random.Random(edits)
+
+    def edited(line):
+        x = list(line)
+        for _ in range(draw.randint(1, edits + 1)):
+            k = draw.randrange(len(x))
+            x[k : k + draw.randint(0, 1)] = [draw.choice("ABCDE")] if draw.random() < 0.7 else []
+        return "".join(x)
+
+    base = "".join(draw.choice("abcdefgh") for _ in range(60))
+    lines = [base] + [edited(base) for _ in range(50)]
+    for _ in range(15):
+        lines.append("".join(draw.choice("abcdefgh") for _ in range(55)))
+        lines += [edited(lines[-1]) for _ in range(2)]
+    draw.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    ends = range(len(lines))
+    top = classes([(a, b) for b in ends for a in range(b) if distance(lines[a], lines[b]) <= edits], list(ends))
+    want = {k for k in ends if top[k] != k and distance(lines[k], lines[top[k]]) <= edits}
+    got = line_dedup.dedup_lines(frame(spark, list(enumerate(lines))), edits=edits).where("n_removed = 1")
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) > 10
+
+
 def test_chained_lines_beyond_an_edit_of_the_first_stay(spark):
     """Lines that differ in a date alone form one class, but only those within an edit of its first line go."""
     lines = [f"This archive of records was last revised on {m:02d}/{d:02d} by the committee" for m in range(1, 13) for d in range(1, 29)]
