@@ -159,6 +159,15 @@ def _crowded(hot: DataFrame, edits: int) -> DataFrame:
             return found
 
 
+def _long_enough(line: Column, least: int) -> Column:
+    """Whether ``line`` has ``least`` characters between its outer white space, a run of white space taken as one.
+
+    The match ends at the last of these characters, so long lines are neither read to their end nor copied.
+    """
+    white = r"\x20\x09-\x0D"
+    return line.rlike(rf"[^{white}](?:[{white}]++(?=[^{white}])|[^{white}]){{{least - 1}}}") if least > 0 else F.lit(True)
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``id, version, pos, line`` of every line of ``least`` characters or more.
 
@@ -166,7 +175,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.where(F.length(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))) >= least)
+    return rows.where(_long_enough(F.col("line"), least))
 
 
 def _line_id(line: Column) -> Column:

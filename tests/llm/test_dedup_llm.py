@@ -383,3 +383,15 @@ def test_queries_return_their_columns(spark, sf):
     want = plain_lines(list(texts.items()))
     for r in queries.QUERIES["op7_line_dedup"](spark, sf).collect():
         assert r["text_crc32"] == zlib.crc32(want[r["doc_id"]].encode())
+
+
+def test_line_length_needs_no_copy_of_the_line(spark):
+    """Each of three passes replaced the white space of every line to measure it; equal lengths, read from the first characters."""
+    draw = random.Random(3)
+    lines = ["".join(draw.choice(" \t\x0b\x0c\r\x1c\x85\u00a0ab\U0001f600é") for _ in range(draw.randrange(24))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in [*lines, "", "a" * 5000, " " * 5000 + "b"]], "line string")
+    for least in (0, 1, 2, 7, 16):
+        plain = F.length(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))) >= least
+        assert df.where(~line_dedup._long_enough(F.col("line"), least).eqNullSafe(plain)).count() == 0
+    rows = line_dedup.occurrences(df.select(F.lit(1).alias("doc_id"), F.col("line").alias("text")), "doc_id", "text", 16)
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
