@@ -248,6 +248,33 @@ def test_tokens_are_made_of_words(text):
     assert [w for t in pieces.tokens(text) for w in pieces.words_of(t)] == pieces.words(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab .\n▁é0日,ñ\u0378", max_size=20)), max_size=6))
+def test_texts_split_together_are_those_split_alone(texts):
+    """Tokens and words of many texts by Arrow, without a Python string for each; before, every text was split alone."""
+    import pyarrow as pa
+
+    found, places, ends = pieces.split(pa.array(texts, pa.string()))
+    own, first, sizes = pieces.words_of_all(found)
+    own = own.to_pylist()
+    got = [[w for x in places[a:b] for w in own[first[x] : first[x] + sizes[x]]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    assert got == [pieces.words(t) for t in texts]
+    ranges = list(pieces.splits(pa.array(texts, pa.string())))
+    assert [k for a, b in ranges for k in range(a, b)] == list(range(len(texts)))
+
+
+def test_a_worker_makes_the_piece_table_once(spark, sf):
+    """Each task made the table and asked for all borders anew, and short words took two Python workers at once, one to fold and one to decode."""
+    import pickle
+
+    model = pieces.Pieces.load()
+    sent = pickle.dumps(model)
+    once, again = pickle.loads(sent), pickle.loads(sent)
+    assert once is again == model and once.spines == model.spines and once.borders is again.borders
+    plan = pieces._short(spark.createDataFrame([("▁one",)], "word string"), model, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_repeated_rows_are_encoded_each(spark):
     model = pieces.Pieces.load()
     docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one"), (2, None)], "doc_id long, text string")
