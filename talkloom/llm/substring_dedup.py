@@ -17,7 +17,6 @@ are merged over all hashes, and the words of both are compared.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,9 @@ HASHES = 3
 GROUP = 16
 #: Windows of a larger key, of different kinds, that meet one another in a task.
 BLOCK = 1024
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts whose words are hashed and whose windows are found at once.
+TOGETHER = 64
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,9 +68,30 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def windows(g: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_together(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of all ``texts`` in a row, and how many each has."""
+    from xxhash import xxh64_intdigest
+
+    words: list[bytes] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        sizes[k] = len(own)
+        words += own
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)), sizes
+
+
+def shingled(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``shingles`` of each of the sequences of ``sizes`` words that stand in a row."""
+    s, ends = shingles(words), np.cumsum(sizes)
+    return [s[a : max(a, b - SHINGLE + 1)] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def windows(g: np.ndarray, least: int, walls: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compact windows (l, c, r) of ``least`` or more values; of equal minima the leftmost counts.
 
+    With ``walls`` a zero ends each of several sequences of ``least`` or more values, and no window reaches over it.
+
     A node that wide is the minimum of half that width on one side at least, which a sliding
     minimum finds; its nearest smaller values on either side are such nodes too, so a monotone
     stack over these few positions gives the bounds.
@@ -97,7 +119,7 @@ def windows(g: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         left[k] = places[stack[-1]] + 1 if stack else 0
         stack.append(k)
     lo, hi = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-    wide = hi - lo + 1 >= least
+    wide = (hi - lo + 1 >= least) & (g[place] > 0 if walls else True)
     lo, hi, c = lo[wide], hi[wide], place[wide]
     if len(c):  # a narrower node between two of these can only have bounded them sooner
         ends = np.stack([lo, hi + 1], axis=1).ravel()
@@ -112,25 +134,30 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = [mix(np.array([k + 1], np.uint64) * _ODD)[0] for k in range(hashes)]
         for batch in batches:
-            key, id_, l, c, r, near = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(word_hashes(text.as_py()))
-                if len(s) < least:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                words, sizes = hashed_together(part.column(1).to_pylist())
+                some = sizes - SHINGLE + 1 >= least
+                if not some.any():
                     continue
+                # The shingles of each text and one more, which reaches over its end and becomes a wall.
+                many, first = sizes[some] - SHINGLE + 2, (np.cumsum(sizes) - sizes)[some]
+                ends = np.cumsum(many)
+                s = shingles(np.append(words, np.uint64(0)))[np.repeat(first - ends + many, many) + np.arange(ends[-1])]
+                ids, starts = part.column(0).to_numpy()[some], ends - many
                 upto = np.append(np.uint64(0), np.cumsum(mix(s + _ODD)))
+                columns: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for seed in seeds:
                     g = mix(s ^ seed)
-                    lo, at, hi = windows(g, least)
-                    key.append(g[at])
-                    id_.append(np.full(len(at), doc, np.int64))
-                    l.append(lo)
-                    c.append(at)
-                    r.append(hi)
-                    a, b = around(at, lo, hi, least)
-                    near.append(mix(upto[b + 1] - upto[a] + mix((at - a << 32 | b - at).astype(np.uint64))))
-            if key:
-                columns = [np.concatenate(key).view(np.int64), np.concatenate(id_), *(np.concatenate(x).astype(np.int32) for x in (c, l, r)), np.concatenate(near).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "c", "l", "r", "near"])
+                    g[ends - 1] = 0
+                    lo, c, hi = windows(g, least, walls=True)
+                    a, b = around(c, lo, hi, least)
+                    near = mix(upto[b + 1] - upto[a] + mix((c - a << 32 | b - c).astype(np.uint64)))
+                    of = np.searchsorted(ends, c, "right")
+                    start = starts[of]
+                    for column, values in zip(columns, (g[c].view(np.int64), ids[of], *((x - start).astype(np.int32) for x in (c, lo, hi)), near.view(np.int64)), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "id", "c", "l", "r", "near"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     return rows.mapInArrow(run, "key bigint, id bigint, c int, l int, r int, near bigint")
@@ -146,13 +173,17 @@ def contexts(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, found, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                s, own = (shingles(word_hashes(text.as_py())) >> np.uint64(32)).astype(np.uint32), found.as_py()
-                for w in own:
-                    a, b = around(w["c"], w["l"], w["r"], least)
-                    out.append(w | {"id": doc, "near": s[a : b + 1].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+            found = batch.column(1)
+            own = dict(zip(("key", "c", "l", "r", "part", "parts"), found.flatten().flatten(), strict=True))
+            a, b = around(*(own[x].to_numpy().astype(np.int64) for x in "clr"), least)
+            a, b, near, first = a.tolist(), b.tolist(), [], 0
+            many = found.value_lengths()
+            for end, text in zip(np.cumsum(many.to_numpy()).tolist(), batch.column(2), strict=True):
+                s = (shingles(word_hashes(text.as_py())) >> np.uint64(32)).astype(np.uint32)
+                near += [s[x : y + 1].tobytes() for x, y in zip(a[first:end], b[first:end])]
+                first = end
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(), many.to_numpy()), pa.int64())
+            yield pa.RecordBatch.from_arrays([own["key"], ids, *(own[x] for x in ("c", "l", "r", "part", "parts")), pa.array(near, pa.binary())], schema=kind)
 
     kind = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("part", pa.int32()), ("parts", pa.int32()), ("near", pa.binary())])
     packed = rows.groupBy("id").agg(F.collect_list(F.struct("key", "c", "l", "r", "part", "parts")).alias("found"))
@@ -251,14 +282,19 @@ def snippets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         known, words = None, np.zeros(0, np.uint64)
         for batch in batches:
             ids, out = [], []
-            for id_, lead, spans, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                if lead.as_py() != known:  # rows come sorted by the earlier document
-                    known, words = lead.as_py(), word_hashes(text.as_py())
-                reach = [(max(0, s["lc"] - (s["c"] - s["l"])), s["lc"] + (s["r"] - s["c"]) + SHINGLE) for s in spans.as_py()]
-                for a, b in _merged(reach):
+            spans = batch.column(2)
+            c, lc, l, r = (x.to_numpy() for x in spans.flatten().flatten())
+            reach = list(zip(np.maximum(0, lc - (c - l)).tolist(), (lc + (r - c) + SHINGLE).tolist()))
+            ends = np.cumsum(spans.value_lengths().to_numpy()).tolist()
+            texts, first = batch.column(3), 0
+            for k, (id_, lead, end) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, strict=True)):
+                if lead != known:  # rows come sorted by the earlier document
+                    known, words = lead, word_hashes(texts[k].as_py())
+                for a, b in _merged(reach[first:end]):
                     if b - a >= SHINGLE and a < len(words):
-                        ids.append(id_.as_py())
+                        ids.append(id_)
                         out.append(words[a : b + 1].tobytes())
+                first = end
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "words"])
 
     return pairs.join(texts, "lead").select("id", "lead", "spans", "text").mapInArrow(run, "id bigint, words binary")
@@ -270,7 +306,11 @@ def matches(own: np.ndarray, other: np.ndarray, min_words: int, similarity: floa
     Shingles of ``own`` found in ``other`` form runs; runs apart by at most two edited words are
     taken together if the shingle sets of both passages reach ``similarity``, else each counts for itself.
     """
-    s, t = shingles(own), shingles(other)
+    return matching(shingles(own), shingles(other), min_words, similarity)
+
+
+def matching(s: np.ndarray, t: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int]]:
+    """``matches`` of the shingles of both."""
     least = min_words - SHINGLE + 1
     if len(s) < least or len(t) < least:
         return []
@@ -297,7 +337,7 @@ def matches(own: np.ndarray, other: np.ndarray, min_words: int, similarity: floa
         a, b = int(at[first]), int(at[last])
         if b - a + 1 < least:
             continue
-        if good(a, b):
+        if b - a == last - first or good(a, b):  # without a gap it counts for itself anyhow
             out.append((a, b + SHINGLE - 1))
             continue
         part = at[first : last + 1]
@@ -312,13 +352,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of the spans, which are merged and sorted."""
     if not spans:
         return text
-    where = [m.span() for m in _WORD.finditer(text)]
+    raw = text.encode("utf-8", "surrogatepass")
+    white = np.append(_WHITE[np.frombuffer(raw, np.uint8)], True)
+    where = np.flatnonzero(white != np.append(True, white[:-1])).reshape(-1, 2)  # first byte of each word, and the byte after it
     out, at = [], 0
     for a, b in spans:
-        out.append(text[at : where[a][0]])
-        at = where[b][1]
-    out.append(text[at:])
-    return "".join(out)
+        out.append(raw[at : where[a, 0]])
+        at = where[b, 1]
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hashes: int = HASHES) -> DataFrame:
@@ -345,20 +387,18 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, removed, all_spans = [], [], [], []
-            for text, others in zip(batch.column(place), batch.column(len(names)), strict=True):
-                whole, others = text.as_py(), others.as_py()
-                if not others:
-                    texts.append(whole)
-                    n_words.append(len((whole or "").encode("utf-8", "surrogatepass").split()))
-                    removed.append(0)
-                    all_spans.append([])
-                    continue
-                own = word_hashes(whole)
-                spans = _merged([x for o in others for x in matches(own, np.frombuffer(o, np.uint64), min_words, similarity)])
-                texts.append(without(whole, spans))
-                n_words.append(len(own))
-                removed.append(sum(b - a + 1 for a, b in spans))
-                all_spans.append([list(x) for x in spans])
+            for at in range(0, batch.num_rows, TOGETHER):
+                wholes, found = (batch.column(k).slice(at, TOGETHER).to_pylist() for k in (place, len(names)))
+                found = [list(dict.fromkeys(x or ())) for x in found]
+                words, sizes = hashed_together(wholes)
+                parts = [np.frombuffer(o, np.uint64) for x in found for o in x]
+                theirs = iter(shingled(np.concatenate(parts), np.array([len(x) for x in parts])) if parts else ())
+                for whole, size, own, others in zip(wholes, sizes.tolist(), shingled(words, sizes), found, strict=True):
+                    spans = _merged([x for _ in others for x in matching(own, next(theirs), min_words, similarity)])
+                    texts.append(without(whole, spans))
+                    n_words.append(size)
+                    removed.append(sum(b - a + 1 for a, b in spans))
+                    all_spans.append([list(x) for x in spans])
             columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, pa.string())
             columns += [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_spans, pa.list_(pa.list_(pa.int32())))]
