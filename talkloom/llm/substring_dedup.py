@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import cut, kept, sieve, sifted
+from .common import cut, forget, kept, sieve, sifted, swept
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -68,14 +68,14 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def hashed_together(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_together(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """``word_hashes`` of all ``texts`` in a row, and how many each has."""
     from xxhash import xxh64_intdigest
 
     words: list[bytes] = []
     sizes = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        own = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
         sizes[k] = len(own)
         words += own
     return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)), sizes
@@ -249,12 +249,17 @@ def _crowded(rows: DataFrame, texts: DataFrame, least: int, similarity: float) -
     return dealt.groupBy("key", "a", "b").applyInArrow(run, "id bigint, lead bigint, c int, lc int, l int, r int")
 
 
-def meeting(found: DataFrame, texts: DataFrame, least: int, similarity: float, group: int = GROUP) -> DataFrame:
-    """``id, lead, c, lc, l, r``: windows of a document and an earlier one that share a minimum; ``texts``: id, text."""
+def meeting(found: DataFrame, path: str, texts: DataFrame, least: int, similarity: float, group: int = GROUP) -> DataFrame:
+    """``id, lead, spans``: the windows (``c, lc, l, r``) of a document and an earlier one that share a minimum; ``texts``: id, text.
+
+    ``path`` has all windows, as ``kept`` wrote them; it goes as soon as those that share a minimum are written.
+    """
+    spark = found.sparkSession
     shared = cut(found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
     # Most windows are alone with their minimum: a bitmap of the others' keys holds them back from the shuffle.
     some = sifted(found, "key", sieve(shared, "key")).where("__maybe").drop("__maybe")
-    some = kept(some.join(shared, "key"), "passages")[0]
+    some, held = kept(some.join(shared, "key"), "passages")
+    forget(spark, path)
     kinds = cut(some.groupBy("key", "near").agg(F.min(F.struct("id", "c", "l", "r")).alias("first"), F.first("n").alias("n")))
     same = some.drop("n").join(kinds.select("key", "near", "first"), ["key", "near"]).where("id > first.id")
     same = same.select("id", F.col("first.id").alias("lead"), "c", F.col("first.c").alias("lc"), "l", "r")
@@ -262,7 +267,10 @@ def meeting(found: DataFrame, texts: DataFrame, least: int, similarity: float, g
     few = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y["id"] < F.col("x.id"))).alias("y"))
     few = few.select("x.id", F.col("y.id").alias("lead"), "x.c", F.col("y.c").alias("lc"), "x.l", "x.r")
     firsts = kinds.where(F.col("n") > group).select("key", "first.*")
-    return few.unionByName(same).unionByName(_crowded(firsts, texts, least, similarity))
+    met = few.unionByName(same).unionByName(_crowded(firsts, texts, least, similarity))
+    pairs = cut(met.groupBy("id", "lead").agg(F.collect_list(F.struct("c", "lc", "l", "r")).alias("spans")))
+    forget(spark, held)
+    return pairs
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -276,10 +284,10 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def snippets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, words``: the word hashes of the earlier document (``texts``: lead, text) around what the two share."""
+    """``id, words``: the words of the earlier document (``texts``: lead, text) around what the two share, as they stand there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words = None, np.zeros(0, np.uint64)
+        known, raw, where = None, b"", np.zeros((0, 2), np.int64)
         for batch in batches:
             ids, out = [], []
             spans = batch.column(2)
@@ -289,11 +297,12 @@ def snippets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             texts, first = batch.column(3), 0
             for k, (id_, lead, end) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, strict=True)):
                 if lead != known:  # rows come sorted by the earlier document
-                    known, words = lead, word_hashes(texts[k].as_py())
+                    known, raw = lead, (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
+                    where = borders(raw)
                 for a, b in _merged(reach[first:end]):
-                    if b - a >= SHINGLE and a < len(words):
+                    if b - a >= SHINGLE and a < len(where):
                         ids.append(id_)
-                        out.append(words[a : b + 1].tobytes())
+                        out.append(raw[where[a, 0] : where[min(b, len(where) - 1), 1]])
                 first = end
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "words"])
 
@@ -348,13 +357,18 @@ def matching(s: np.ndarray, t: np.ndarray, min_words: int, similarity: float) ->
     return out
 
 
+def borders(raw: bytes) -> np.ndarray:
+    """First byte of each word of a text in UTF-8, and the byte after it."""
+    white = np.append(_WHITE[np.frombuffer(raw, np.uint8)], True)
+    return np.flatnonzero(white != np.append(True, white[:-1])).reshape(-1, 2)
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the words of the spans, which are merged and sorted."""
     if not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
-    white = np.append(_WHITE[np.frombuffer(raw, np.uint8)], True)
-    where = np.flatnonzero(white != np.append(True, white[:-1])).reshape(-1, 2)  # first byte of each word, and the byte after it
+    where = borders(raw)
     out, at = [], 0
     for a, b in spans:
         out.append(raw[at : where[a, 0]])
@@ -373,11 +387,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("n_words", "n_removed", "spans")
     least = min_words - SHINGLE + 1
-    found = kept(window_rows(docs, id_col, text_col, hashes, least), "windows")[0]
     texts = docs.select(F.col(id_col).cast("bigint").alias("lead"), F.col(text_col).alias("text"))
-    shared = meeting(found, texts.withColumnRenamed("lead", "id"), least, similarity)
-    pairs = cut(shared.groupBy("id", "lead").agg(F.collect_list(F.struct("c", "lc", "l", "r")).alias("spans")))
-    texts = sifted(texts, "lead", sieve(pairs.select("lead").distinct(), "lead")).where("__maybe").drop("__maybe")
+    with swept(docs.sparkSession):
+        found, path = kept(window_rows(docs, id_col, text_col, hashes, least), "windows")
+        pairs = meeting(found, path, texts.withColumnRenamed("lead", "id"), least, similarity)
+        texts = sifted(texts, "lead", sieve(pairs.select("lead").distinct(), "lead")).where("__maybe").drop("__maybe")
+        # Documents that share nothing stay where they are.
+        plain = sifted(docs.withColumn("__id", F.col(id_col).cast("bigint")), "__id", sieve(pairs.select("id").distinct(), "id"))
     parts = snippets(pairs, texts).groupBy("id").agg(F.collect_list("words").alias("others"))
 
     names = docs.columns
@@ -391,8 +407,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 wholes, found = (batch.column(k).slice(at, TOGETHER).to_pylist() for k in (place, len(names)))
                 found = [list(dict.fromkeys(x or ())) for x in found]
                 words, sizes = hashed_together(wholes)
-                parts = [np.frombuffer(o, np.uint64) for x in found for o in x]
-                theirs = iter(shingled(np.concatenate(parts), np.array([len(x) for x in parts])) if parts else ())
+                theirs = iter(shingled(*hashed_together([o for x in found for o in x])))
                 for whole, size, own, others in zip(wholes, sizes.tolist(), shingled(words, sizes), found, strict=True):
                     spans = _merged([x for _ in others for x in matching(own, next(theirs), min_words, similarity)])
                     texts.append(without(whole, spans))
@@ -404,8 +419,6 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns += [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_spans, pa.list_(pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "n_removed", "spans"])
 
-    # Documents that share nothing stay where they are.
-    plain = sifted(docs.withColumn("__id", F.col(id_col).cast("bigint")), "__id", sieve(pairs.select("id").distinct(), "id"))
     own = [F.col(f"`{c}`") for c in names]
     n_words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
     alone = plain.where("not __maybe").select(*own, n_words.alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.array().cast("array<array<int>>").alias("spans"))

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -415,3 +416,42 @@ def test_windows_of_texts_in_a_row_are_those_of_each(spark):
     found = substring_dedup.window_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text", 1, 46)
     assert {r["id"] for r in found.collect()} == {k for k, t in enumerate(texts) if len((t or "").split()) >= 50}
     assert substring_dedup.without(" é one\t two  日本 x ", [(1, 1), (3, 3)]) == " é \t two   x "
+
+
+def test_passages_leave_no_windows_and_nothing_shuffled(spark):
+    """All windows and those of shared minima stayed in the shared folder, and what had been shuffled until the driver collected its garbage."""
+    draw = random.Random(4)
+    common_part, other = prose(draw, 70), prose(draw, 70)
+    rows = [(k, f"{prose(draw, 40)} {common_part if k % 2 else other} {prose(draw, 30)}") for k in range(60)]
+    docs = frame(spark, rows)
+    common.ensure_checkpoint_dir(spark)
+    folder = re.sub(r"^file:/*", "/", spark.sparkContext.getCheckpointDir())
+    local = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    kept = lambda: {x for x in os.listdir(folder) if x.startswith(("windows-", "passages-"))}
+    shuffled = lambda: {x for top in local for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had, before, conf = kept(), shuffled(), spark.conf.get(key)
+    out = substring_dedup.dedup_passages(docs)
+    for _ in range(50):  # they go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert kept() == had and not left and spark.conf.get(key) == conf
+    first = sorted((r["doc_id"], r["n_removed"], r["text"]) for r in out.collect())
+    assert [n > 0 for _, n, _ in first] == [k > 1 for k in range(60)]
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in out.collect()) == first
+
+
+def test_snippets_are_no_larger_than_the_texts(spark):
+    """They were eight bytes a word, which do not compress; a slice of the text has the same words."""
+    text = " A b\tc  dé " * 40 + "last"
+    texts = spark.createDataFrame([(1, text)], "lead long, text string")
+    spans = "array<struct<c:int,lc:int,l:int,r:int>>"
+    pairs = spark.createDataFrame([(2, 1, [(40, 30, 20, 90), (60, 50, 20, 95)]), (3, 1, [(5, 150, 0, 70)]), (4, 1, [(0, 158, 0, 0)])], f"id long, lead long, spans {spans}")
+    got = {r["id"]: bytes(r["words"]) for r in substring_dedup.snippets(pairs, texts).collect()}
+    words = substring_dedup.word_hashes(text)
+    for k, (a, b) in {2: (10, 91), 3: (145, 161), 4: (158, 161)}.items():
+        if k in got:
+            own, _ = substring_dedup.hashed_together([got[k]])
+            assert (own == words[a:b]).all() and len(got[k]) < 4 * len(own)
+    assert set(got) == {2, 3, 4}
